@@ -2,7 +2,7 @@
 
 Each template keeps the postings (template, place) of its highest-IDF words. A text's rare words are looked up; each pair of places
 votes for the offset between text and template, and the template's score is the IDF weight of the words that agree on its best
-offset (within a slack of SLACK places) over the weight of all its rare words. A template counts when its score reaches THRESHOLD
+offset (within a slack of SLACK places) over the weight of all its rare words; texts without any word of SIGNS score 0. A template counts when its score reaches THRESHOLD
 and all its mandatory phrases stand in the text. Base phrases are found apart from that, by exact places, and always stay.
 
 The templates are a fixed table, so their postings travel as literals in the plan. Nothing is shuffled.
@@ -35,6 +35,8 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit", ("creative commons attribution",)),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ("free and unencumbered software",)),
 )
+# Words of which each mandatory phrase and each base phrase but "cc by" holds one.
+SIGNS = ("license", "permission", "redistribution", "software", "distribute", "commons", " fee", "charge")
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -92,13 +94,17 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, slac
     """The documents with COLUMNS added."""
     postings, weights, idf = rare_postings()
     docs = docs.drop(*COLUMNS)
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = docs.withColumn("_t", lower)
-    out = out.withColumn("n_words", F.regexp_count("_t", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long"))
-    # Only texts with one of these words can hold a phrase or reach a template's threshold; the others skip all that follows.
-    signs = "|".join(sorted({w for w in postings if len(w) >= 6} | {"license", "cc[^a-z0-9]+by"}))
-    norm = F.when(F.col("_t").rlike(signs), F.concat(F.lit(" "), F.btrim(F.regexp_replace("_t", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
-    out = out.withColumn("_norm", norm)
+    t = F.coalesce(F.col(text), F.lit(""))
+    # Separators and capitals are single bytes, so words count alike before and after lowering A-Z.
+    out = docs.withColumn("_n", F.size(F.split(F.concat(F.lit("."), t), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)))
+    out = out.withColumn("_e", F.when(F.length(t) == 0, 1).otherwise(F.substring(t, -1, 1).rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]").cast("int")))
+    # Each phrase of the base and each mandatory phrase holds one of these; the others skip all that follows. lower() folds more than A-Z, so it only lets more through.
+    low = F.lower(t)
+    sign = reduce(lambda a, b: a | b, [low.contains(w) for w in SIGNS]) | (low.contains("cc") & low.rlike("cc[^a-z0-9]+by"))
+    out = out.withColumn("_sign", sign)
+    plain = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = out.withColumn("_norm", F.when(F.col("_sign"), F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))))
+    out = out.withColumn("n_words", (F.col("_n") - 1 - F.col("_e")).cast("long"))
     for k, (phrase, _) in enumerate(BASE):
         n, first, last = _places(F.col("_norm"), phrase)
         out = out.withColumn(f"_b{k}", F.when(F.col("_norm").contains(f" {phrase} "), F.struct(n.alias("n"), first.alias("f"), last.alias("l"))))

@@ -25,6 +25,9 @@ STOP_WORDS = (
     "le la les et de du des un une est que qui dans pour par sur en au aux ne pas ce il "
     "el los las y se del por con una para lo su al como más o"
 ).split()
+STOP_FORMS = sorted({f for w in STOP_WORDS for f in (w, w.capitalize())})
+#: Up to so many distinct repeated windows are looked up one by one.
+FEW = 48
 
 
 @dataclass(frozen=True)
@@ -50,34 +53,46 @@ RULES = (
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
 
-def _repeat_windows(words: Column, n: Column) -> Column:
-    """Three-word windows sorted by hash: equal neighbours are repeats, and their places cover three words each."""
-    return F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+def _covered(places: Column) -> Column:
+    """Words that three-word windows at these ascending places cover."""
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns SIGNALS, all long."""
+    """Adds the columns SIGNALS, all long.
+
+    Repeats: each three-word window is hashed; texts whose hashes are all distinct are done. With up to FEW repeated hashes their
+    places are looked up one by one, else windows are sorted with their places. Both give the same number.
+    """
     docs = docs.drop(*SIGNALS)
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(t, F.lit(WHITE_CHARS))
     out = docs.withColumn("_w", F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE)))
-    out = out.withColumn("_n", F.size("_w"))
-    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE_CHARS))) > 0))
-    out = out.withColumn("_g", F.when(F.col("_n") >= 4, _repeat_windows(F.col("_w"), F.col("_n"))))
+    w, n = F.col("_w"), F.size("_w")
+    grams = F.transform(F.arrays_zip(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), F.slice(w, 3, n - 2)), lambda x: F.xxhash64(x))
+    out = out.withColumn("_h", F.when(n >= 4, grams))
+    h = F.col("_h")
+    out = out.withColumn("_s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+    s = F.col("_s")
+    out = out.withColumn("_d", F.when(s.isNotNull(), F.array_distinct(F.filter(s, lambda x, k: x.eqNullSafe(F.get(s, k + 1))))))
+    few = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains("_d", x), i)), lambda i: i.isNotNull())
+    g = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumn("_g", F.when(F.size("_d") > FEW, g))
     g = F.col("_g")
-    same = lambda a, b: a["h"] == b["h"]
-    out = out.withColumn("_p", F.array_sort(F.transform(F.filter(g, lambda x, k: F.coalesce(same(F.get(g, k + 1), x), F.lit(False)) | (F.when(k > 0, F.coalesce(same(F.get(g, k - 1), x), F.lit(False))).otherwise(False))), lambda x: x["i"])))
-    p = F.col("_p")
-    covered = F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+    same = lambda x, k: F.coalesce(F.get(g, k)["h"] == x["h"], F.lit(False))
+    many = F.sort_array(F.transform(F.filter(g, lambda x, k: same(x, k + 1) | (F.when(k > 0, same(x, k - 1)).otherwise(False))), lambda x: x["i"]))
+    out = out.withColumn("_p", F.when(g.isNotNull(), many).when(F.col("_d").isNotNull(), few))
+    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE_CHARS))) > 0))
     return out.select(
         *docs.columns,
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.translate(t, WHITE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.coalesce(_covered(F.col("_p")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).cast("long").alias("n_stop_words"),
     )
 
 
