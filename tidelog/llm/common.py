@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents of one unit: bytes of text, and their number.
-UNIT_BYTES, UNIT_DOCS = 4 << 20, 1 << 16
+UNIT_BYTES, UNIT_DOCS = 4 << 20, 1 << 15
 #: Keys that one part of a key exchange holds in memory.
 PART_KEYS = 1 << 21
 #: Stands for a null id inside units; sorts first, is returned as null.
@@ -84,12 +84,12 @@ def inverse(r: int) -> int:
     return pow(r, -1, 1 << 64)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes other than ASCII white space) of documents that lie behind one another, and the number of words before each document and after the last."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes other than those between words, ASCII white space if not said) of documents that lie behind one another, and the number of words before each document and after the last."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import html_extract, license_scan, packing, pii, quality_rules, substring_dedup, warc
+from tidelog.llm import decontaminate, html_extract, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,21 @@ def op5_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query()
+def op6_ngram_lm(spark, sf_dir):
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
