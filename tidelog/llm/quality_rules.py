@@ -110,3 +110,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """The documents with their signals, base_failed and kept."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return signals(docs.drop("base_failed", "kept"), text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The documents that are kept, with their own columns. Pushed below the signals, the filter would repeat their expressions for each rule; a row number in the projection holds it above."""
+    judged = judge(docs, rules, text).withColumn("_above", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_above") >= 0)).select(*docs.columns)
