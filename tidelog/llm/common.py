@@ -300,8 +300,8 @@ def _repeated(table: pa.Table) -> pa.Table:
             np.add.at(seen, at[index[at] == probes], 1) if len(probes) < 64 else seen.__iadd__(np.bincount(at[index[at] == probes], minlength=len(seen)).astype(np.int32))
     often = seen[: len(index)] > 1
     bits = [often[np.searchsorted(index, a)] for a in anchors]
-    keep = [k for k, b in enumerate(bits) if b.any()]
-    return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep], pa.binary())})
+    keep = pa.array([k for k, b in enumerate(bits) if b.any()], pa.int64())
+    return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep.to_pylist()], pa.binary())})
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:

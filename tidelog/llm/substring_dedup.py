@@ -119,8 +119,8 @@ def _owners(table: pa.Table) -> pa.Table:
     bit[order] = later
     ends = np.cumsum(sizes)
     rows = [bit[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-    keep = [i for i, b in enumerate(rows) if b.any()]
-    return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(rows[i]).tobytes() for i in keep], pa.binary())})
+    keep = pa.array([i for i, b in enumerate(rows) if b.any()], pa.int64())
+    return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(rows[i]).tobytes() for i in keep.to_pylist()], pa.binary())})
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES, keep_text: bool = True) -> DataFrame:
