@@ -107,12 +107,12 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The documents with their signals, base_failed and kept."""
+    """The documents with their signals, base_failed and kept. A filter on kept that Catalyst pushed below the signals would repeat their expressions for each rule; a row number that kept refers to holds it above."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return signals(docs.drop("base_failed", "kept"), text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    found = signals(docs.drop("base_failed", "kept"), text).withColumn("_above", F.monotonically_increasing_id())
+    return found.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules) & (F.col("_above") >= 0)).drop("_above")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns. Pushed below the signals, the filter would repeat their expressions for each rule; a row number in the projection holds it above."""
-    judged = judge(docs, rules, text).withColumn("_above", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_above") >= 0)).select(*docs.columns)
+    """The documents that are kept, with their own columns."""
+    return judge(docs, rules, text).where("kept").select(*docs.columns)
