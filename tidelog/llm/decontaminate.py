@@ -3,9 +3,9 @@
 An item of L words leaks into a document where some run of the document's words lies within k = floor(RATE L) word edits of it
 (none below SMALL words). Words are runs of letters, digits and non-ASCII characters, A-Z as a-z.
 
-1. Where windows start: cut an item into k + 1 pieces; k edits leave one untouched, so every occurrence holds a piece word by word.
-   The first words of all pieces are looked up with each position of a text; a hit gives the starts an item's window can have.
-   This loses nothing.
+1. Where windows start: an edit touches at most SEED_WORDS of an item's grams of so many words, so an occurrence shares at least
+   L - SEED_WORDS + 1 - SEED_WORDS k of them with the item, all shifted by nearly the same amount. Grams are looked up at each
+   position of a text; shifts that gather enough hits give the starts an item's window can have. This loses nothing.
 2. Each such window of L words is embedded by a random walk that turns edit distance into Hamming distance (repeat or advance,
    by a random bit of step and word); SAMPLED coordinates of the walk are the bucket, and the window meets the item where they
    agree in one of as many repetitions as RECALL asks for at an agreement of AGREE a coordinate.
@@ -77,18 +77,24 @@ def _sample(length: int) -> np.ndarray:
     return ((r >> C.U64(11)) % C.U64(max(1, 2 * length))).astype(np.int64).reshape(REPEATS, SAMPLED)
 
 
-def buckets(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """CGK walks over the windows of length words that start at starts (within words or beyond: padding), bit-sampled: a bucket for each window and repetition."""
+def buckets(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CGK walks over windows of lengths words that start at starts (those at ends and beyond are padding), bit-sampled: a bucket for each window and repetition. All walks advance together."""
+    kinds, kind = np.unique(lengths, return_inverse=True)
+    sampled = np.stack([_sample(int(n)) for n in kinds]) if len(kinds) else np.zeros((0, REPEATS, SAMPLED), np.int64)
     out = np.zeros((len(starts), REPEATS), C.U64)
-    pad = np.concatenate((words, np.zeros(length + 1, C.U64)))
+    at = np.broadcast_to(starts[:, None], out.shape).copy()
+    end = np.minimum(starts + lengths, ends)[:, None]
+    seed = (np.arange(REPEATS, dtype=C.U64) << C.U64(20))[None, :]
+    pad = np.concatenate((words, np.zeros(1, C.U64)))
     with np.errstate(over="ignore"):
-        for r, sampled in enumerate(_sample(length)):
-            at = np.zeros(len(starts), np.int64)
-            for step in range(int(sampled.max()) + 1):
-                w = np.where(at < length, pad[np.minimum(starts + at, len(pad) - 1)], C.U64(0))
-                for _ in range(int((sampled == step).sum())):
-                    out[:, r] = C.mix(out[:, r] * C.U64(0x9E3779B97F4A7C15) + w)
-                at += (C.mix(w + C.U64((r << 20) + step)) >> C.U64(63)).astype(np.int64)
+        for step in range(int(sampled.max(initial=-1)) + 1):
+            w = np.where(at < end, pad[np.minimum(at, len(words))], C.U64(0))
+            for k in range(SAMPLED):
+                now = sampled[:, :, k] == step
+                if now.any():
+                    here = now[kind]
+                    out[here] = C.mix(out[here] * C.U64(0x9E3779B97F4A7C15) + w[here])
+            at += (C.mix(w + seed + C.U64(step)) >> C.U64(63)).astype(np.int64)
     return out
 
 
@@ -102,54 +108,80 @@ class Items:
         self.ids = [i for i, n in zip(ids, np.diff(bounds), strict=True) if n]
         self.words = [w[bounds[k] : bounds[k + 1]] for k in range(len(ids)) if bounds[k + 1] > bounds[k]]
         self.edits = [edits_allowed(len(x)) for x in self.words]
-        self.buckets = [buckets(x, np.zeros(1, np.int64), len(x))[0] for x in self.words]
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, (x, e) in enumerate(zip(self.words, self.edits, strict=True)):
-            q = min(SEED_WORDS, len(x) // (e + 1))
-            for piece in range(e + 1):
-                at = piece * (len(x) // (e + 1))
-                seeds.setdefault(q, {}).setdefault(int(C.gram_hashes(x[at : at + q], q)[0]), []).append((k, at))
-        self.seeds = {q: (np.array(sorted(found), C.U64), [found[h] for h in sorted(found)]) for q, found in seeds.items()}
-        self.maybe = {q: np.zeros(1 << 20, bool) for q in seeds}
-        for q, (keys, _) in self.seeds.items():
-            self.maybe[q][(keys >> C.U64(44)).astype(np.int64)] = True
-
-    def starts(self, words: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, start of the item's window) wherever a piece stands."""
-        out = set()
-        for q, (keys, places) in self.seeds.items():
+        sizes = np.array([len(x) for x in self.words], np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        whole = np.concatenate(self.words) if self.words else np.zeros(0, C.U64)
+        self.sizes, self.most = sizes, np.array(self.edits, np.int64)
+        self.buckets = buckets(whole, bounds[:-1], bounds[1:], sizes)
+        grams = np.minimum(SEED_WORDS, sizes)
+        self.needed = np.maximum(1, sizes - grams + 1 - grams * self.most)
+        self.seeds = {}
+        for q in np.unique(grams).tolist():
+            rows = [(h, k, at) for k in np.flatnonzero(grams == q).tolist() for at, h in enumerate(C.gram_hashes(self.words[k], q).tolist())]
+            rows.sort()
+            keys = np.array([r[0] for r in rows], C.U64)
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(keys >> C.U64(44)).astype(np.int64)] = True
+            self.seeds[q] = (keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), maybe)
+
+    def shifts(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, shift) wherever enough of an item's grams stand at this shift or up to twice its edits beyond; shifts are places of the item's first word, perhaps before the document."""
+        found = []
+        for q, (keys, item, inside, maybe) in self.seeds.items():
             h = C.gram_hashes(words, q)
-            some = np.flatnonzero(self.maybe[q][(h >> C.U64(44)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
-            ok = (keys[at] == h[some]) & (doc[some] == doc[some + q - 1])
-            for place, key in zip(some[ok].tolist(), at[ok].tolist(), strict=True):
-                d = int(doc[place])
-                out.update((d, k, place - inside - int(bounds[d])) for k, inside in places[key])
-        return out
+            some = np.flatnonzero(maybe[(h >> C.U64(44)).astype(np.int64)])
+            some = some[doc[some] == doc[some + q - 1]]
+            lo, hi = np.searchsorted(keys, h[some]), np.searchsorted(keys, h[some], "right")
+            n = hi - lo
+            row = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            place = np.repeat(some, n)
+            found.append((doc[place], item[row], place - inside[row]))
+        if not found:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        d, k, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((s, k, d))
+        d, k, s = d[order], k[order], s[order]
+        span = len(words) + int(self.sizes.max()) * 4 + 4
+        key = (d * len(self.sizes) + k) * span + s + int(self.sizes.max())
+        enough = np.searchsorted(key, key + 2 * self.most[k], "right") - np.arange(len(key)) >= self.needed[k]
+        return d[enough], k[enough], s[enough]
 
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, edits, start, words) of each leak, starts from the document's first word."""
+        if not self.words or not len(words):
+            return
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        by_item: dict[tuple[int, int], list[int]] = {}
-        for d, k, s in self.starts(words, doc, bounds):
-            by_item.setdefault((d, k), []).append(s)
-        for (d, k), centres in by_item.items():
-            item, e = self.words[k], self.edits[k]
-            n, text = len(item), words[bounds[d] : bounds[d + 1]]
-            best = None
-            starts = np.unique(np.clip((np.array(centres)[:, None] + np.arange(-e, e + 1)).ravel(), 0, max(0, len(text) - 1)))
-            hit = starts[(buckets(text, starts, n) == self.buckets[k]).any(axis=1)]
-            covered = -1
-            for s in hit.tolist():
-                if s <= covered:  # the last region verified already holds this window's runs
-                    continue
-                lo, hi = max(0, s - 2 * e), min(len(text), s + n + 4 * e)
-                cost, a, b = edit_distance(item, text[lo:hi])
-                covered = s + e
-                if cost <= e and (best is None or (cost, lo + a) < best[:2]):
-                    best = (cost, lo + a, b - a)
-            if best:
-                yield d, k, *best
+        d, k, s = self.shifts(words, doc)
+        if not len(d):
+            return
+        e = self.most[k]
+        n = 2 * e + 1
+        start = np.repeat(s - e, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d, k = np.repeat(d, n), np.repeat(k, n)
+        start = np.clip(start, bounds[d], np.maximum(bounds[d], bounds[d + 1] - 1))
+        windows = np.unique(np.stack((d, k, start), 1), axis=0)
+        d, k, start = windows.T
+        near = np.zeros(len(d), bool)
+        for at in range(0, len(d), 4096):
+            part = slice(at, at + 4096)
+            near[part] = (buckets(words, start[part], bounds[d[part] + 1], self.sizes[k[part]]) == self.buckets[k[part]]).any(axis=1)
+        pair, best, covered = None, None, -1
+        for x, y, z in zip(d[near].tolist(), k[near].tolist(), start[near].tolist(), strict=True):
+            if (x, y) != pair:
+                if best:
+                    yield *pair, *best
+                pair, best, covered = (x, y), None, -1
+            if z <= covered:  # the last region verified holds this window's runs
+                continue
+            e, size = int(self.most[y]), int(self.sizes[y])
+            lo, hi = max(int(bounds[x]), z - 2 * e), min(int(bounds[x + 1]), z + size + 4 * e)
+            cost, a, b = edit_distance(self.words[y], words[lo:hi])
+            covered = z + e
+            if cost <= e and (best is None or cost < best[0]):
+                best = (cost, lo + a - int(bounds[x]), b - a)
+        if best:
+            yield *pair, *best
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:

@@ -236,23 +236,36 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
                 yield pa.RecordBatch.from_pydict({
                     "rid": pa.array(s.rid[some]), "n": pa.array(s.size[some], pa.int64()),
                     "prefix": pa.array([token[at[d] : at[d + 1]].view(np.int64) for d in some], pa.list_(pa.int64())),
-                    "tokens": pa.array([s.token[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in some], pa.binary()),
                 })
 
     told = often.join(reps, "unit")
-    found = C.written(units.join(told, "unit").mapInArrow(gather, "rid long, n long, prefix array<long>, tokens binary"), f"{home}/found")
-    C.dropped(spark, f"{home}/units")
+    found = C.written(units.join(told, "unit").mapInArrow(gather, "rid long, n long, prefix array<long>"), f"{home}/found")
     edges = found.select("rid", F.explode("prefix").alias("node"))
-    several = edges.groupBy("node").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("node")
-    edges = C.written(edges.join(several, "node"), f"{home}/edges")
+    # Each token stands for its smallest representative: near copies share most tokens, so what is left is a few rows each.
+    hubs = edges.groupBy("node").agg(F.min("rid").alias("hub"))
+    edges = C.written(edges.join(hubs, "node").select("rid", F.col("hub").alias("node")).distinct(), f"{home}/edges")
     labels = components(edges, f"{home}/families")
     sizes = found.join(labels, "rid").groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    sizes = C.written(sizes.select("label", "members", F.ceil(F.col("total") / family_tokens).cast("int").alias("blocks")), f"{home}/sizes")
+    sizes = C.written(sizes.where("members > 1").select("label", "members", F.ceil(F.col("total") / family_tokens).cast("int").alias("blocks")), f"{home}/sizes")
     split = sizes.where("blocks > 1").limit(1).count() > 0
-    member = found.join(labels, "rid").join(sizes, "label").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
+    family = labels.join(sizes, "label").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
+    family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "blocks", "copies").alias("m"))
+    family = family.groupBy("unit").agg(F.collect_list("m").alias("members"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, r in C.units_in(batches):
+            s = _Sets(u, words)
+            for k in range(0, len(r["members"]), 512):
+                some = r["members"][k : k + 512]
+                cols = {c: pa.array([m[c] for m in some], pa.int64()) for c in ("label", "blocks", "copies")}
+                cols |= {"rid": pa.array([int(s.rid[m["at"]]) for m in some], pa.int64()), "tokens": pa.array([s.token[s.bounds[m["at"]] : s.bounds[m["at"] + 1]].tobytes() for m in some], pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    # Shingles are shipped once, straight to the task that verifies the family.
+    member = units.join(family, "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary")
     member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     if split:  # each block meets each other block, and itself
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with")
         member = member.select("*", other).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")}).drop("with")
     else:
         member = member.withColumns({"x": F.lit(0), "y": F.lit(0)})
@@ -261,7 +274,8 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         table = table.sort_by("rid")
         rid, copies = table["rid"].to_numpy(), table["copies"].to_numpy()
         sets = [np.frombuffer(x, C.U64) for x in table["tokens"].to_pylist()]
-        prefix = [np.array(x, np.int64).view(C.U64) for x in table["prefix"].to_pylist()]
+        counts, keep = shared.value, prefix_length(np.array([len(x) for x in sets], np.int64), share)
+        prefix = [x[np.lexsort((x, counts[(x & C.U64(SKETCH - 1)).astype(np.int64)]))[:n]] for x, n in zip(sets, keep.tolist(), strict=True)]
         linked, union = np.zeros(len(rid), np.int64), _Union(len(rid))
         for i, js in links(sets, prefix, share, table["block"].to_numpy()):
             linked[i] += copies[js].sum()
@@ -272,9 +286,10 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         return pa.table({"rid": pa.array(rid), "linked": pa.array(linked), "root": pa.array(roots)})
 
     keys = ["label", "x", "y"]
-    done = member.select(*keys, "rid", "copies", "block", "tokens", "prefix").groupBy(*keys).applyInArrow(verify, "rid long, linked long, root long")
+    done = member.select(*keys, "rid", "copies", "block", "tokens").groupBy(*keys).applyInArrow(verify, "rid long, linked long, root long")
     done = C.written(done, f"{home}/links")
-    C.dropped(spark, f"{home}/found")
+    for name in ("units", "found", "edges"):
+        C.dropped(spark, f"{home}/{name}")
     linked = done.groupBy("rid").agg(F.sum("linked").alias("linked"), F.min("root").alias("root"))
     if split:
         roots = components(done.select("rid", F.col("root").alias("node")).union(done.select(F.col("root").alias("rid"), F.col("root").alias("node"))), f"{home}/roots")

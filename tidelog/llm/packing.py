@@ -34,17 +34,23 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-        if len(self._memo) > MEMO:
-            self._memo.clear()
-        memo = self._memo
-        new = {w for ws in split for w in ws if w not in memo}
-        new = list(new)
+        if len(self._memo) > MEMO:  # words of the last generation that come up again move over
+            self._memo, self._old = {}, self._memo
+        memo, old = self._memo, self._old
+        new = []
+        for w in set().union(*split):
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                else:
+                    new.append(w)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for w, e in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
         get = memo.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
