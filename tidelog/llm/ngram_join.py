@@ -1,11 +1,12 @@
 """Exact Jaccard join on word shingles by prefix filters under several global token orders.
 
 Two documents with Jaccard similarity of at least t share a token among the first n - ceil(t n) + 1 of either's n distinct
-shingles, under whatever order of all tokens. Order A puts rare tokens first (counts of all shingles, hashed into a table of SKETCH
-counters; any counts make a valid order, good ones a selective one); orders B and C are hashes. So:
+shingles, under whatever order of all tokens. Order A puts tokens first that only one set has, then rare ones (counts of all
+shingles, hashed into a table of SKETCH counters; any counts make a valid order); orders B and C are hashes. So:
 
 1. Documents with equal shingle sets form a class; one representative stays.
-2. Prefix tokens under order A are exchanged in 32-bit form between units; those that only one document has are dropped.
+2. Shingles are exchanged in 32-bit form between units, which tells those that only one set has. A set with enough of its own has
+   no other tokens in its prefix under order A, and is done.
 3. Representatives that share prefix tokens, directly or through others, form a family (connected components, by SQL).
 4. In each family, candidates share prefix tokens under A and B and C and fit in length; what remains is verified exactly on 64-bit
    shingles, one representative against all its candidates at a time. A family over FAMILY_TOKENS tokens is cut into blocks of
@@ -63,11 +64,21 @@ class _Sets:
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         return C.doc_hashes(self.token, self.bounds, 1).view(np.int64), C.doc_hashes(self.token, self.bounds, 2).view(np.int64)
 
-    def prefix(self, counts: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, documents) of the prefixes under order A."""
-        order = np.lexsort((self.token, counts[(self.token & C.U64(SKETCH - 1)).astype(np.int64)], self.doc))
+    def repeated(self, lg: int, reps: list[int], replies: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """(for each token whether it is a representative's, whether several representatives have it)."""
+        rep = np.zeros(len(self.size), bool)
+        rep[reps] = True
+        mine = rep[self.doc]
+        distinct, back = np.unique(self.token[mine], return_inverse=True)
+        often = np.zeros(len(self.token), bool)
+        often[mine] = C.answered(distinct, lg, replies)[back]
+        return mine, often
+
+    def prefix(self, counts: np.ndarray, share: tuple[int, int], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, documents) of the prefixes under order A, without the tokens that nobody else has."""
+        order = np.lexsort((self.token, counts[(self.token & C.U64(SKETCH - 1)).astype(np.int64)], often, self.doc))
         rank = np.arange(len(order)) - self.bounds[self.doc]
-        keep = rank < prefix_length(self.size, share)[self.doc]
+        keep = (rank < prefix_length(self.size, share)[self.doc]) & often[order]
         return self.token[order][keep], self.doc[keep]
 
 
@@ -196,7 +207,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     """(doc_id, n_shingles, component_id, n_links, class_id): per document its set size, the smallest doc_id that links reach, the number of documents linked with it, and the smallest doc_id with an equal set. docs: doc_id, text."""
     spark = docs.sparkSession
     home = C.shared_dir(spark)
-    lg = C.parts_for(C.text_bytes(docs) / 6 * (1 - share[0] / share[1] + 0.02))
+    lg = C.parts_for(C.text_bytes(docs) / 6)
     units = C.written(C.pack(docs, unit_bytes), f"{home}/units")
     counts = _sketch(units, words)
     shared = spark.sparkContext.broadcast(counts)  # SKETCH counters of 4 bytes
@@ -211,24 +222,23 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     classes = C.written(classes, f"{home}/classes")
 
+    reps = classes.groupBy(F.shiftright("rep", 16).alias("unit")).agg(F.collect_list(F.col("rep").bitwiseAND(65535).cast("int")).alias("reps"))
+    reps = C.written(reps, f"{home}/reps")
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, _ in C.units_in(batches):
-            token, _ = _Sets(u, words).prefix(shared.value, share)
+        for u, r in C.units_in(batches):
+            s = _Sets(u, words)
+            token = s.token[s.repeated(lg, r["reps"], None)[0]]
             if (out := C.key_rows(u.id, token, np.unique(token), lg)) is not None:
                 yield out
 
-    often = C.per_unit(C.repeated_keys(units.mapInArrow(send, C.KEYS_SCHEMA)), "often")
-    reps = classes.groupBy(F.shiftright("rep", 16).alias("unit")).agg(F.collect_list(F.col("rep").bitwiseAND(65535).cast("int")).alias("reps"))
+    often = C.per_unit(C.repeated_keys(units.join(reps, "unit").mapInArrow(send, C.KEYS_SCHEMA)), "often")
+    told = C.written(often.join(reps, "unit"), f"{home}/told")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
             s = _Sets(u, words)
-            rep = np.zeros(len(u.ids), bool)
-            rep[r["reps"]] = True
-            token, doc = s.prefix(shared.value, share)
-            distinct, back = np.unique(token, return_inverse=True)
-            hit = C.answered(distinct, lg, r["often"])[back] & rep[doc] if len(token) else np.zeros(0, bool)
-            token, doc = token[hit], doc[hit]
+            token, doc = s.prefix(shared.value, share, s.repeated(lg, r["reps"], r["often"])[1])
             at = np.searchsorted(doc, np.arange(len(u.ids) + 1))
             full = np.flatnonzero(np.diff(at))
             for k in range(0, len(full), 512):
@@ -238,7 +248,6 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
                     "prefix": pa.array([token[at[d] : at[d + 1]].view(np.int64) for d in some], pa.list_(pa.int64())),
                 })
 
-    told = often.join(reps, "unit")
     found = C.written(units.join(told, "unit").mapInArrow(gather, "rid long, n long, prefix array<long>"), f"{home}/found")
     edges = found.select("rid", F.explode("prefix").alias("node"))
     # Each token stands for its smallest representative: near copies share most tokens, so what is left is a few rows each.
@@ -255,14 +264,18 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
             s = _Sets(u, words)
+            token, doc = s.prefix(shared.value, share, s.repeated(lg, r["reps"], r["often"])[1])
+            own = np.searchsorted(doc, np.arange(len(u.ids) + 1))
             for k in range(0, len(r["members"]), 512):
                 some = r["members"][k : k + 512]
+                at = [m["at"] for m in some]
                 cols = {c: pa.array([m[c] for m in some], pa.int64()) for c in ("label", "blocks", "copies")}
-                cols |= {"rid": pa.array([int(s.rid[m["at"]]) for m in some], pa.int64()), "tokens": pa.array([s.token[s.bounds[m["at"]] : s.bounds[m["at"] + 1]].tobytes() for m in some], pa.binary())}
+                cols |= {"rid": pa.array(s.rid[at]), "tokens": pa.array([s.token[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in at], pa.binary())}
+                cols |= {"prefix": pa.array([token[own[d] : own[d + 1]].tobytes() for d in at], pa.binary())}
                 yield pa.RecordBatch.from_pydict(cols)
 
     # Shingles are shipped once, straight to the task that verifies the family.
-    member = units.join(family, "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary")
+    member = units.join(told.join(family, "unit"), "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
     member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     if split:  # each block meets each other block, and itself
         other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with")
@@ -274,8 +287,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         table = table.sort_by("rid")
         rid, copies = table["rid"].to_numpy(), table["copies"].to_numpy()
         sets = [np.frombuffer(x, C.U64) for x in table["tokens"].to_pylist()]
-        counts, keep = shared.value, prefix_length(np.array([len(x) for x in sets], np.int64), share)
-        prefix = [x[np.lexsort((x, counts[(x & C.U64(SKETCH - 1)).astype(np.int64)]))[:n]] for x, n in zip(sets, keep.tolist(), strict=True)]
+        prefix = [np.frombuffer(x, C.U64) for x in table["prefix"].to_pylist()]
         linked, union = np.zeros(len(rid), np.int64), _Union(len(rid))
         for i, js in links(sets, prefix, share, table["block"].to_numpy()):
             linked[i] += copies[js].sum()
@@ -286,7 +298,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         return pa.table({"rid": pa.array(rid), "linked": pa.array(linked), "root": pa.array(roots)})
 
     keys = ["label", "x", "y"]
-    done = member.select(*keys, "rid", "copies", "block", "tokens").groupBy(*keys).applyInArrow(verify, "rid long, linked long, root long")
+    done = member.select(*keys, "rid", "copies", "block", "tokens", "prefix").groupBy(*keys).applyInArrow(verify, "rid long, linked long, root long")
     done = C.written(done, f"{home}/links")
     for name in ("units", "found", "edges"):
         C.dropped(spark, f"{home}/{name}")
