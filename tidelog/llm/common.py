@@ -193,6 +193,12 @@ class Unit:
     def __init__(self, unit: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
         self.id, self.ids, self.data, self.offsets = unit, ids, data, offsets
 
+    def only(self, at: np.ndarray) -> Unit:
+        """Some of the documents, by place."""
+        data = np.concatenate([self.data[self.offsets[k] : self.offsets[k + 1]] for k in at]) if len(at) else self.data[:0]
+        lens = np.diff(self.offsets)[at]
+        return Unit(self.id, self.ids[at], data, np.concatenate(([0], np.cumsum(lens))))
+
     def words(self, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, starts, ends, bounds)."""
         starts, ends, bounds = word_bounds(self.data, self.offsets)

@@ -37,70 +37,84 @@ _B, _C, _SHORT = C.U64(0xB5297A4D3F84D5B5), C.U64(0xC2B2AE3D27D4EB4F), 0x5851F42
 
 
 class _Sets:
-    """A unit's distinct shingles: hashes sorted within each document, bounds between documents."""
+    """Distinct shingles of a unit's documents, or of some of them: hashes sorted within each document, bounds between documents."""
 
-    def __init__(self, unit: C.Unit, n: int):
-        self.unit = unit
+    def __init__(self, unit: C.Unit, n: int, at: np.ndarray | None = None):
+        unit = unit if at is None else unit.only(at)
         words, _, _, bounds = unit.words(True)
         docs = len(unit.ids)
         count = np.diff(bounds)
         doc = np.repeat(np.arange(docs), count)
         m = max(0, len(words) - n + 1)
-        at = np.flatnonzero(doc[:m] == doc[n - 1 :]) if m else np.zeros(0, np.int64)
-        h, d = C.gram_hashes(words, n)[at] if m else np.zeros(0, C.U64), doc[at] if m else at
+        whole = np.flatnonzero(doc[:m] == doc[n - 1 :]) if m else np.zeros(0, np.int64)
+        h, d = C.gram_hashes(words, n)[whole] if m else np.zeros(0, C.U64), doc[whole] if m else whole
         few = np.flatnonzero((count > 0) & (count < n))
         if len(few):
             h = np.concatenate((h, C.mix(C.doc_hashes(words, bounds, 1)[few] + C.U64(_SHORT))))
             d = np.concatenate((d, few))
-        order = np.lexsort((h, d))
+        order = _by_document(np.argsort(h), d)
         h, d = h[order], d[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         self.token, self.doc = h[new], d[new]
         self.bounds = np.searchsorted(self.doc, np.arange(docs + 1))
         self.size = np.diff(self.bounds)
-        self.rid = (unit.id << 16) + np.arange(docs)
+        self.rid = (unit.id << 16) + (np.arange(docs) if at is None else at)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         return C.doc_hashes(self.token, self.bounds, 1).view(np.int64), C.doc_hashes(self.token, self.bounds, 2).view(np.int64)
 
-    def repeated(self, lg: int, reps: list[int], replies: list | None) -> tuple[np.ndarray, np.ndarray]:
-        """(for each token whether it is a representative's, whether several representatives have it)."""
-        rep = np.zeros(len(self.size), bool)
-        rep[reps] = True
-        mine = rep[self.doc]
-        distinct, back = np.unique(self.token[mine], return_inverse=True)
-        often = np.zeros(len(self.token), bool)
-        often[mine] = C.answered(distinct, lg, replies)[back]
-        return mine, often
+    def repeated(self, lg: int, replies: list | None) -> np.ndarray:
+        """For each token whether several representatives have it."""
+        distinct, back = np.unique(self.token, return_inverse=True)
+        return C.answered(distinct, lg, replies)[back]
 
     def prefix(self, counts: np.ndarray, share: tuple[int, int], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, documents) of the prefixes under order A, without the tokens that nobody else has."""
-        order = np.lexsort((self.token, counts[(self.token & C.U64(SKETCH - 1)).astype(np.int64)], often, self.doc))
+        """(tokens, documents) of the prefixes under order A, without the tokens that nobody else has. Tokens of one count stay in order of their hashes."""
+        key = (often.astype(np.int64) << 32) | counts[(self.token & C.U64(SKETCH - 1)).astype(np.int64)]
+        order = _by_document(np.argsort(key, kind="stable"), self.doc)
         rank = np.arange(len(order)) - self.bounds[self.doc]
         keep = (rank < prefix_length(self.size, share)[self.doc]) & often[order]
         return self.token[order][keep], self.doc[keep]
 
 
+def _by_document(order: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order, with each document's entries together. Units have fewer than 2**16 documents."""
+    return order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+
+
 def prefix_length(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     num, den = share
     return n - (num * n + den - 1) // den + 1
 
 
-def _sketch(units: DataFrame, n: int) -> np.ndarray:
-    """Counts of all documents' shingles by hash, in a table of fixed size."""
+DESCRIBED = "doc_id long, rid long, a long, b long, n long, chunk int, body binary"
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(units: DataFrame, n: int) -> DataFrame:
+    """In one pass a row a document (its digests and set size), and each task's counts of shingles by hash, in chunks of a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         total = np.zeros(SKETCH, np.int64)
         for u, _ in C.units_in(batches):
-            total += np.bincount((_Sets(u, n).token & C.U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            s = _Sets(u, n)
+            total += np.bincount((s.token & C.U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            a, b = s.digests()
+            yield pa.RecordBatch.from_pydict({"doc_id": u.ids, "rid": s.rid, "a": a, "b": b, "n": s.size, "chunk": pa.nulls(len(a), pa.int32()), "body": pa.nulls(len(a), pa.binary())})
         squeeze = zstandard.ZstdCompressor(1)
         for k in range(0, SKETCH, CHUNK):
             part = total[k : k + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "body": pa.array([squeeze.compress(part.astype("<u8").tobytes())], pa.binary())})
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_pydict({"doc_id": none, "rid": none, "a": none, "b": none, "n": none, "chunk": pa.array([k // CHUNK], pa.int32()), "body": pa.array([squeeze.compress(part.astype("<u8").tobytes())], pa.binary())})
+
+    return units.mapInArrow(run, DESCRIBED)
+
+
+def _sketch(chunks: DataFrame) -> np.ndarray:
+    """The tasks' counts of all documents' shingles, added up."""
 
     def add(table: pa.Table) -> pa.Table:
         import zstandard
@@ -110,8 +124,7 @@ def _sketch(units: DataFrame, n: int) -> np.ndarray:
         return pa.table({"chunk": table["chunk"].slice(0, 1), "body": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
     out = np.zeros(SKETCH, np.uint32)
-    rows = units.mapInArrow(count, "chunk int, body binary").groupBy("chunk").applyInArrow(add, "chunk int, body binary")
-    for r in rows.collect():  # SKETCH / CHUNK rows, 4 MB in all
+    for r in chunks.groupBy("chunk").applyInArrow(add, "chunk int, body binary").collect():  # SKETCH / CHUNK rows, 4 MB in all
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["body"], "<u4")
     return out
 
@@ -209,16 +222,9 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     home = C.shared_dir(spark)
     lg = C.parts_for(C.text_bytes(docs) / 6)
     units = C.written(C.pack(docs, unit_bytes), f"{home}/units")
-    counts = _sketch(units, words)
-    shared = spark.sparkContext.broadcast(counts)  # SKETCH counters of 4 bytes
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, _ in C.units_in(batches):
-            s = _Sets(u, words)
-            a, b = s.digests()
-            yield pa.RecordBatch.from_pydict({"doc_id": u.ids, "rid": s.rid, "a": a, "b": b, "n": s.size})
-
-    rows = C.written(units.mapInArrow(describe, "doc_id long, rid long, a long, b long, n long"), f"{home}/rows")
+    described = C.written(_described(units, words), f"{home}/described")
+    shared = spark.sparkContext.broadcast(_sketch(described.where("chunk IS NOT NULL").select("chunk", "body")))  # SKETCH counters of 4 bytes
+    rows = described.where("chunk IS NULL").select("doc_id", "rid", "a", "b", "n")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     classes = C.written(classes, f"{home}/classes")
 
@@ -227,8 +233,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
-            s = _Sets(u, words)
-            token = s.token[s.repeated(lg, r["reps"], None)[0]]
+            token = _Sets(u, words, np.sort(r["reps"])).token
             if (out := C.key_rows(u.id, token, np.unique(token), lg)) is not None:
                 yield out
 
@@ -237,9 +242,9 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
-            s = _Sets(u, words)
-            token, doc = s.prefix(shared.value, share, s.repeated(lg, r["reps"], r["often"])[1])
-            at = np.searchsorted(doc, np.arange(len(u.ids) + 1))
+            s = _Sets(u, words, np.sort(r["reps"]))
+            token, doc = s.prefix(shared.value, share, s.repeated(lg, r["often"]))
+            at = np.searchsorted(doc, np.arange(len(s.rid) + 1))
             full = np.flatnonzero(np.diff(at))
             for k in range(0, len(full), 512):
                 some = full[k : k + 512]
@@ -257,25 +262,23 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     sizes = found.join(labels, "rid").groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     sizes = C.written(sizes.where("members > 1").select("label", "members", F.ceil(F.col("total") / family_tokens).cast("int").alias("blocks")), f"{home}/sizes")
     split = sizes.where("blocks > 1").limit(1).count() > 0
-    family = labels.join(sizes, "label").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
-    family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "blocks", "copies").alias("m"))
+    family = found.select("rid", "prefix").join(labels.join(sizes, "label"), "rid").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
+    family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "blocks", "copies", "prefix").alias("m"))
     family = family.groupBy("unit").agg(F.collect_list("m").alias("members"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
-            s = _Sets(u, words)
-            token, doc = s.prefix(shared.value, share, s.repeated(lg, r["reps"], r["often"])[1])
-            own = np.searchsorted(doc, np.arange(len(u.ids) + 1))
-            for k in range(0, len(r["members"]), 512):
-                some = r["members"][k : k + 512]
-                at = [m["at"] for m in some]
+            members = sorted(r["members"], key=lambda m: m["at"])
+            s = _Sets(u, words, np.array([m["at"] for m in members]))
+            for k in range(0, len(members), 512):
+                some = members[k : k + 512]
                 cols = {c: pa.array([m[c] for m in some], pa.int64()) for c in ("label", "blocks", "copies")}
-                cols |= {"rid": pa.array(s.rid[at]), "tokens": pa.array([s.token[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in at], pa.binary())}
-                cols |= {"prefix": pa.array([token[own[d] : own[d + 1]].tobytes() for d in at], pa.binary())}
+                cols |= {"rid": pa.array(s.rid[k : k + 512]), "tokens": pa.array([s.token[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in range(k, k + len(some))], pa.binary())}
+                cols |= {"prefix": pa.array([np.array(m["prefix"], np.int64).tobytes() for m in some], pa.binary())}
                 yield pa.RecordBatch.from_pydict(cols)
 
     # Shingles are shipped once, straight to the task that verifies the family.
-    member = units.join(told.join(family, "unit"), "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
+    member = units.join(family, "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
     member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     if split:  # each block meets each other block, and itself
         other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with")
