@@ -7,6 +7,7 @@ A key that stands in a third of all documents then costs one entry a unit, not o
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Documents of one unit: bytes of text, and their number.
 UNIT_BYTES, UNIT_DOCS = 4 << 20, 1 << 15
+#: Bytes of one Arrow batch between Spark and a worker.
+BATCH_BYTES = 2 << 20
 #: Keys that one part of a key exchange holds in memory.
 PART_KEYS = 1 << 21
 #: Stands for a null id inside units; sorts first, is returned as null.
@@ -173,12 +177,30 @@ def ids_out(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. Workers stay alive between tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES at most instead of a number of rows (a longer row is a batch), so neither the JVM nor the worker holds thousands of long texts at once."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key) != f"{BATCH_BYTES}b":
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about most bytes each, to bound what vectorised code holds."""
     for b in batches:
         step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+    trim()
 
 
 # ---------------------------------------------------------------- units
@@ -238,7 +260,7 @@ def pack(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
         if ids:
             yield row(ids, data, lens)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, UNIT_SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, UNIT_SCHEMA)
 
 
 def units_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, dict]]:
@@ -251,6 +273,8 @@ def units_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, dict]]:
             lens = np.frombuffer(b["lens"][k].as_py(), np.int64)
             data = np.frombuffer(open_.decompress(b["text"][k].as_py()), np.uint8)
             yield Unit(b["unit"][k].as_py(), ids, data, np.concatenate(([0], np.cumsum(lens)))), {c: b[c][k].as_py() for c in rest}
+            del ids, lens, data
+    trim()
 
 
 def parts_for(keys: float, part_keys: int = PART_KEYS) -> int:
@@ -307,6 +331,8 @@ def _repeated(table: pa.Table) -> pa.Table:
     often = seen[: len(index)] > 1
     bits = [often[np.searchsorted(index, a)] for a in anchors]
     keep = pa.array([k for k, b in enumerate(bits) if b.any()], pa.int64())
+    del anchors, index, seen
+    trim()
     return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep.to_pylist()], pa.binary())})
 
 
@@ -328,7 +354,3 @@ def answered(anchors: np.ndarray, lg: int, replies: list[dict] | None) -> np.nda
         lo, hi = at[r["part"]], at[r["part"] + 1]
         out[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
     return out
-
-
-def to_arrow(run: Callable, df: DataFrame, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)

@@ -214,7 +214,7 @@ def _matched(docs: DataFrame, items: Items) -> DataFrame:
                 d, k, e, s, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": C.ids_out(ids[list(d)]), "item_id": pa.array([block.ids[x] for x in k], pa.int64()), "edits": pa.array(e, pa.int32()), "start_word": pa.array(s, pa.int64()), "n_words": pa.array(n, pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm import common as C
 from tidelog.llm.quality_rules import STOP_WORDS
 
 MAX_LINK_DENSITY, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.35, 40, 140, 0.08, 0.15
@@ -160,4 +161,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in b["html"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.selectExpr("cast(page_id AS long) AS page_id", "cast(url AS string) AS url", "cast(html AS string) AS html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return C.mapped(pages.selectExpr("cast(page_id AS long) AS page_id", "cast(url AS string) AS url", "cast(html AS string) AS html"), run, "page_id long, url string, text string, n_chars long")

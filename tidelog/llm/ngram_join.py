@@ -110,7 +110,7 @@ def _described(units: DataFrame, n: int) -> DataFrame:
                 none = pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": none, "rid": none, "a": none, "b": none, "n": none, "chunk": pa.array([k // CHUNK], pa.int32()), "body": pa.array([squeeze.compress(part.astype("<u8").tobytes())], pa.binary())})
 
-    return units.mapInArrow(run, DESCRIBED)
+    return C.mapped(units, run, DESCRIBED)
 
 
 def _sketch(chunks: DataFrame) -> np.ndarray:
@@ -237,7 +237,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
             if (out := C.key_rows(u.id, token, np.unique(token), lg)) is not None:
                 yield out
 
-    often = C.per_unit(C.repeated_keys(units.join(reps, "unit").mapInArrow(send, C.KEYS_SCHEMA)), "often")
+    often = C.per_unit(C.repeated_keys(C.mapped(units.join(reps, "unit"), send, C.KEYS_SCHEMA)), "often")
     told = C.written(often.join(reps, "unit"), f"{home}/told")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
                     "prefix": pa.array([token[at[d] : at[d + 1]].view(np.int64) for d in some], pa.list_(pa.int64())),
                 })
 
-    found = C.written(units.join(told, "unit").mapInArrow(gather, "rid long, n long, prefix array<long>"), f"{home}/found")
+    found = C.written(C.mapped(units.join(told, "unit"), gather, "rid long, n long, prefix array<long>"), f"{home}/found")
     edges = found.select("rid", F.explode("prefix").alias("node"))
     # Each token stands for its smallest representative: near copies share most tokens, so what is left is a few rows each.
     hubs = edges.groupBy("node").agg(F.min("rid").alias("hub"))
@@ -278,7 +278,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
                 yield pa.RecordBatch.from_pydict(cols)
 
     # Shingles are shipped once, straight to the task that verifies the family.
-    member = units.join(family, "unit").mapInArrow(fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
+    member = C.mapped(units.join(family, "unit"), fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
     member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     if split:  # each block meets each other block, and itself
         other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with")

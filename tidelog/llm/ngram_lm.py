@@ -168,7 +168,7 @@ def fill(grams: DataFrame, bits: int, least: int) -> LogBloom:
             bloom.add(np.frombuffer(body, C.U64))
         return pa.table({"segment": pa.array([s], pa.int32()), "data": pa.array([bloom.data[s * size // 8 : (s + 1) * size // 8].tobytes()], pa.binary())})
 
-    segments = grams.mapInArrow(send, "segment int, body binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
+    segments = C.mapped(grams, send, "segment int, body binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
     bloom = LogBloom(bits, least=least)
     for r in segments.collect():  # SEGMENTS rows, bits / 8 bytes in all
         bloom.data[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(r["data"], np.uint8)
@@ -190,7 +190,7 @@ def _least_that_fits(grams: DataFrame, bits: int) -> int:
                     total[j] += some.sum()
         yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(LEVELS + 1), pa.int32()), "n": pa.array(total)})
 
-    need = {r["j"]: r["n"] for r in grams.select("counts").mapInArrow(run, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
+    need = {r["j"]: r["n"] for r in C.mapped(grams.select("counts"), run, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
     return LEAST << next((j - 1 for j in range(1, LEVELS) if need.get(j, 0) * BITS_EACH <= bits), LEVELS - 2)
 
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, bits: int = BITS, unit_bytes: int = C.UNIT_BYTES) ->
             pairs = _counted(t.pair[train])
             yield _blobs(u.id, "pair", lg, pairs["key"], pairs)
 
-    sums = C.written(units.mapInArrow(send, "kind string, part int, unit long, body binary").groupBy("kind", "part").applyInArrow(_count_part, _SUMS), f"{home}/sums")
+    sums = C.written(C.mapped(units, send, "kind string, part int, unit long, body binary").groupBy("kind", "part").applyInArrow(_count_part, _SUMS), f"{home}/sums")
     n, v = sums.where("kind = 'word'").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     grams = sums.where("kind <> 'reply'").select("keys", "counts")
     bloom = fill(grams, bits, _least_that_fits(grams, bits))
@@ -246,6 +246,6 @@ def score(docs: DataFrame, bits: int = BITS, unit_bytes: int = C.UNIT_BYTES) ->
             })
 
     told = C.per_unit(sums.where("kind = 'reply'"), "replies", "body")
-    return units.join(told, "unit", "left").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return C.mapped(units.join(told, "unit", "left"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

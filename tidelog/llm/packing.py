@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common as C
 
-CAPACITY, END, MEMO = 4096, 1, 1 << 19
+CAPACITY, END, MEMO = 4096, 1, 1 << 18
 
 
 class Encoder:
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(out["ids"], pa.binary())} if keep_ids else {}))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     extra = ["ids"] if keep_ids else []
     ranked = made.join(starts, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *extra, (F.col("nth") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long")
+    return C.mapped(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long")

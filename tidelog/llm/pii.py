@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import boosting
+from tidelog.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SEED, PRECISION = 6000, 11, 0.99
@@ -229,7 +230,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -251,4 +252,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([None if t is None else one(t, f[1]) for t, f in zip(texts, found, strict=True)], b.schema.field(text).type)
             yield b.set_column(b.schema.get_field_index(text), b.schema.field(text), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.mapped(docs, run, docs.schema)

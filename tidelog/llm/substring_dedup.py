@@ -43,7 +43,7 @@ def _copies(units: DataFrame, window: int) -> DataFrame:
             a, b = (C.doc_hashes(w, bounds, s)[at].view(np.int64) for s in (1, 2))
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "doc_id": u.ids[at], "unit": np.full(len(at), u.id, np.int64), "at": at.astype(np.int32)})
 
-    d = units.mapInArrow(digests, "a long, b long, doc_id long, unit long, at int")
+    d = C.mapped(units, digests, "a long, b long, doc_id long, unit long, at int")
     first = d.groupBy("a", "b").agg(F.min(F.struct("doc_id", "unit", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = d.join(first, ["a", "b"]).where(F.struct("doc_id", "unit", "at") != F.col("f"))
     return later.groupBy("unit").agg(F.collect_list("at").alias("copies"))
@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES,
                 yield rows
 
     copies = _copies(units, window)
-    anchors = C.per_unit(C.repeated_keys(units.mapInArrow(send_blocks, C.KEYS_SCHEMA)), "anchors")
+    anchors = C.per_unit(C.repeated_keys(C.mapped(units, send_blocks, C.KEYS_SCHEMA)), "anchors")
     told = C.written(anchors.join(copies, "unit", "full_outer"), f"{home}/anchors")
 
     def send_sequences(batches):
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES,
             if len(full):
                 yield pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "unit": pa.array(np.full(len(full), u.id, np.int64)), "keys": pa.array([both[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), "docs": pa.array([doc[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())})
 
-    sent = units.join(told, "unit").mapInArrow(send_sequences, "part int, unit long, keys binary, docs binary")
+    sent = C.mapped(units.join(told, "unit"), send_sequences, "part int, unit long, keys binary, docs binary")
     owners = C.per_unit(sent.groupBy("part").applyInArrow(_owners, C.REPLY_SCHEMA), "owners")
     told = C.written(told.join(owners, "unit", "left"), f"{home}/owners")
 
@@ -186,4 +186,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES,
             yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(texts, pa.binary()).cast(pa.string())} if keep_text else {}))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return units.join(told, "unit", "left").mapInArrow(cut_out, schema)
+    return C.mapped(units.join(told, "unit", "left"), cut_out, schema)

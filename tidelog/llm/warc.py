@@ -146,7 +146,7 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
         if held:
             yield save(held)
 
-    return rows.mapInArrow(run, "name string, records long, bytes long")
+    return C.mapped(rows, run, "name string, records long, bytes long")
 
 
 def normalise(manifest: DataFrame, folder: str, to_folder: str) -> DataFrame:
@@ -168,7 +168,7 @@ def normalise(manifest: DataFrame, folder: str, to_folder: str) -> DataFrame:
                 to.write(f"{new}.idx", "\n".join(index).encode())
                 yield pa.RecordBatch.from_pydict({"name": [f"{new}.warc.gz"], "index": [f"{new}.idx"], "records": [len(index)]})
 
-    return manifest.mapInArrow(run, "name string, index string, records long")
+    return C.mapped(manifest, run, "name string, index string, records long")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -197,7 +197,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
                 yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for k, c, t in zip(names, cols, types, strict=True)})
 
-    return manifest.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return C.mapped(manifest, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
