@@ -75,6 +75,22 @@ def unigrams(docs):
     return [(h, len(ts), sum(c[x] > 0 for x in ts), n, round(sum(log10((c[x] + 0.5) / d) for x in ts), 6)) for h, ts in zip(held, tokens, strict=True)]
 
 
+def pair_scores(docs):
+    """Scores by row of the pair model over all counts, quantised but without a filter."""
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in docs]
+    tokens = [[None, *WORD.findall(low(t or "")), None] for _, t in docs]
+    train = [ts for h, ts in zip(held, tokens, strict=True) if not h]
+    c, cc = Counter(x for ts in train for x in ts[1:]), Counter(p for ts in train for p in zip(ts, ts[1:], strict=False))
+    d = sum(c.values()) + 0.5 * (len(c) + 1)
+    q = lambda n: 1.5 * 2 ** (n.bit_length() - 1) - 0.5 if n else 0.0
+
+    def p(v, w):
+        a = q(c[v]) / (q(c[v]) + 8)
+        return a * min(1, q(cc[v, w]) / max(q(c[v]), 1)) + (1 - a) * (q(c[w]) + 0.5) / (d + 1)
+
+    return [sum(log10(p(v, w)) for v, w in zip(ts, ts[1:], strict=False)) for ts in tokens]
+
+
 def shingles(t, n):
     w = WORD.findall(low(t or ""))
     return set(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set()

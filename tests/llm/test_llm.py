@@ -126,6 +126,18 @@ def test_op6(spark, docs, empty, sf, sample):
     assert (bloom.counts(keys) >= 5).all() and (bloom.counts(common.mix(np.arange(900, 1900, dtype=np.uint64))) > 0).mean() < 0.02
 
 
+@pytest.mark.parametrize("bits", [1 << 12, ngram_lm.BITS])
+def test_op6_whole_model(spark, sample, bits):
+    """All counts are in the model, pairs seen once too, however little of the filter a task may hold."""
+    got = sorted(ngram_lm.score(spark.createDataFrame(sample, "doc_id long, text string"), bits=bits).collect())
+    off = [(r.score - x) / r.n_tokens for r, x in zip(got, brute.pair_scores(sample), strict=True)]
+    assert abs(np.mean(off)) < 0.02 and np.quantile(np.abs(off), 0.9) < 0.1
+    keys = np.sort(common.mix(np.arange(20000, dtype=np.uint64)))
+    n = np.where(np.arange(20000) % 2, np.arange(20000) % 9 + 1, 0)
+    levels = ngram_lm.modelled(keys, n, bits)
+    assert (levels >= ngram_lm._levels(n)).all() and (levels > ngram_lm._levels(n)).mean() < 0.05
+
+
 def test_op7(spark, docs, empty):
     rng = random.Random(3)
     vocabulary = [f"u{i}" for i in range(60)]

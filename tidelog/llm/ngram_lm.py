@@ -1,11 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of words and word pairs cover all training documents. A unit sends its distinct words and pairs with their counts once, so a
-frequent word costs one entry a unit; parts sum them. Words' exact counts go back to the units for the base score. For the model,
-counts are quantised to powers of two and n-grams enter a Bloom filter of BITS bits once for each level up to theirs; a count is
-read by probing level after level until one is missing. The filter has a fixed size: words of any count and pairs that
-occur twice enter it; if they need more insertions than it holds at its error rate, the smallest count that still fits becomes the bound. It is filled in segments by
-the executors, collected (BITS / 8 bytes) and broadcast.
+Counts of words and word pairs cover all training documents. A unit sends its distinct words and pairs once, with how often they
+occur in its training documents, so a frequent word costs one entry a unit; parts sum them. For the model, counts are quantised to
+powers of two and n-grams enter a Bloom filter once for each level up to theirs; a count is read by probing level after level
+until one is missing. The filter holds all words and pairs of training documents, those seen once included, at BITS_EACH bits an
+insertion, so its error stays the same and it grows with the corpus: each part of the keys has its own share of it, which its task
+fills and probes in blocks of BITS bits at most. Units are answered with the level the filter gives each n-gram they sent, and with
+their words' exact counts for the base score. Nothing is collected or broadcast.
 
 p(w | v) = a * min(1, c(v, w) / c(v)) + (1 - a) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), a = c(v) / (c(v) + PRIOR), with c as read
 from the filter; the token before the first is the end token. Held out are documents whose crc32(doc_id as text) mod 5 is 1.
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common as C
 
-BITS, PROBES, SEGMENTS, BITS_EACH, PRIOR, LEAST, LEAST_PAIR, LEVELS = 1 << 27, 5, 64, 9.0, 8.0, 1, 2, 40
+BITS, PROBES, BITS_EACH, PRIOR, LEVELS = 1 << 27, 5, 9.0, 8.0, 40
 END = C.mix(np.array([0x454E44], C.U64))[0]
 _PAIR = C.U64(0x9E6C63D0876A9A63)
-_COUNTED = np.dtype([("key", "<u8"), ("n", "<u4")])
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -57,61 +57,44 @@ class _Tokens:
             self.pair = C.mix(before * _PAIR + self.token)
 
 
-def _counted(keys: np.ndarray) -> np.ndarray:
-    k, n = np.unique(keys, return_counts=True)
-    out = np.empty(len(k), _COUNTED)
-    out["key"], out["n"] = k, n
-    return out
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, how often each occurs where train is set)."""
+    k, back = np.unique(keys, return_inverse=True)
+    return k, np.bincount(back[train], minlength=len(k)).astype("<u4")
 
 
-def _blobs(unit: int, kind: str, lg: int, sorted_keys: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
-    at = C.cut(sorted_keys, lg)
+def _blobs(unit: int, kind: str, lg: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    at = C.cut(keys, lg)
     full = np.flatnonzero(np.diff(at))
-    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(full), pa.string()), "part": pa.array(full.astype(np.int32)), "unit": pa.array(np.full(len(full), unit, np.int64)), "body": pa.array([body[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())})
-
-
-def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    """Sums of (key, n) arrays, by key."""
-    both = np.concatenate(parts) if parts else np.zeros(0, _COUNTED)
-    k, back = np.unique(both["key"], return_inverse=True)
-    out = np.empty(len(k), np.dtype([("key", "<u8"), ("n", "<i8")]))
-    out["key"], out["n"] = k, np.bincount(back, both["n"].astype(np.float64), len(k)).astype(np.int64) if len(k) else 0
-    return out
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(full), pa.string()), "part": pa.array(full.astype(np.int32)), "unit": pa.array(np.full(len(full), unit, np.int64)), "body": pa.array([keys[at[k] : at[k + 1]].tobytes() + n[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())})
 
 
-def _levels(n: np.ndarray, least: int) -> np.ndarray:
-    return np.where(n >= least, np.floor(np.log2(np.maximum(n, 1) / least) + 1e-9).astype(np.int64) + 1, 0)
+def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = len(body) // 12
+    return np.frombuffer(body, C.U64, m), np.frombuffer(body, "<u4", m, 8 * m)
 
 
-def _grams(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[bytes, bytes]:
-    keep = n >= least
-    return keys[keep].tobytes(), np.minimum(n[keep], 0xFFFFFFFF).astype("<u4").tobytes()
+def _summed(bodies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (keys, counts), by key."""
+    k, back = np.unique(np.concatenate([b[0] for b in bodies]), return_inverse=True)
+    return k, np.bincount(back, np.concatenate([b[1] for b in bodies]), len(k)).astype(np.int64)
 
 
-_SUMS = "kind string, part int, unit long, body binary, keys binary, counts binary, tokens long, types long"
+def _levels(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, np.floor(np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64) + 1, 0)
 
 
-def _count_part(table: pa.Table) -> pa.Table:
-    """Sums a part; answers each unit with its words' counts, and gives the n-grams that occur often enough."""
-    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-    bodies = [np.frombuffer(x, _COUNTED) for x in table["body"].to_pylist()]
-    total = _summed(bodies)
-    keys, counts = _grams(total["key"], total["n"], LEAST if kind == "word" else LEAST_PAIR)
-    rows = [(kind, part, None, None, keys, counts, int(total["n"].sum()), int((total["n"] > 0).sum()))]
-    if kind == "word":
-        for unit, body in zip(table["unit"].to_pylist(), bodies, strict=True):
-            rows.append(("reply", part, unit, total["n"][np.searchsorted(total["key"], body["key"])].tobytes(), None, None, None, None))
-    names = ("kind", "part", "unit", "body", "keys", "counts", "tokens", "types")
-    types = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), types, strict=True)})
+def _middle(levels: np.ndarray) -> np.ndarray:
+    """Counts as the middle of their level; 0 if they have none."""
+    return np.where(levels > 0, 1.5 * 2.0 ** (levels.astype(np.int64) - 1) - 0.5, 0.0)
 
 
 class LogBloom:
-    """The filter: bits in SEGMENTS equal segments; a key lives in one segment."""
+    """A block of the filter."""
 
-    def __init__(self, bits: int = BITS, probes: int = PROBES, least: int = LEAST, data: np.ndarray | None = None):
-        self.bits, self.probes, self.least = bits, probes, least
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
+    def __init__(self, bits: int = BITS, probes: int = PROBES):
+        self.bits, self.probes = bits, probes
+        self.data = np.zeros(-(-bits // 8), np.uint8)
 
     @staticmethod
     def levelled(keys: np.ndarray, level: int | np.ndarray) -> np.ndarray:
@@ -120,15 +103,16 @@ class LogBloom:
 
     def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
         """Bit numbers of each probe."""
-        size = C.U64(self.bits // SEGMENTS)
-        base, a, b = (h >> C.U64(58)) * size, h & C.U64(0xFFFFFFFF), (h >> C.U64(26)) | C.U64(1)
+        size, a, b = C.U64(self.bits), h & C.U64(0xFFFFFFFF), (h >> C.U64(26)) | C.U64(1)
         for k in range(self.probes):
             with np.errstate(over="ignore"):
-                yield base + (a + C.U64(k) * b) % size
+                yield (a + C.U64(k) * b) % size
 
     def add(self, h: np.ndarray) -> None:
+        bit = np.zeros(8 * len(self.data), bool)
         for at in self.places(h):
-            np.bitwise_or.at(self.data, (at >> C.U64(3)).astype(np.int64), np.left_shift(1, (at & C.U64(7)).astype(np.uint8)).astype(np.uint8))
+            bit[at.astype(np.int64)] = True
+        self.data |= np.packbits(bit, bitorder="little")
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
@@ -136,66 +120,56 @@ class LogBloom:
             out &= (self.data[(at >> C.U64(3)).astype(np.int64)] >> (at & C.U64(7)).astype(np.uint8)) & 1 > 0
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts as the middle of the last level that is there; 0 if none is."""
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level that is there; 0 if none is."""
+        out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for level in range(1, LEVELS):
             left = left[self.has(self.levelled(keys[left], level))]
             if not len(left):
                 break
-            out[left] = self.least * 1.5 * 2.0 ** (level - 1) - 0.5
+            out[left] = level
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return _middle(self.levels(keys))
+
+
+def modelled(keys: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """Levels of a part's keys as the filter gives them, which holds all that occur. A block follows another where the insertions would need more than bits."""
+    top, out = _levels(n), np.zeros(len(keys), np.uint8)
+    need = np.cumsum(top) * BITS_EACH
+    at = np.concatenate(([0], np.searchsorted(need, np.arange(bits, need[-1] if len(need) else 0, bits)), [len(keys)]))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        k, t = keys[lo:hi], top[lo:hi]
+        bloom = LogBloom(max(64, int(t.sum() * BITS_EACH)))
+        bloom.add(np.concatenate([LogBloom.levelled(k[t >= level], level) for level in range(1, int(t.max(initial=0)) + 1)] or [k[:0]]))
+        out[lo:hi] = bloom.levels(k)
+    return out
 
-def fill(grams: DataFrame, bits: int, least: int) -> LogBloom:
-    """The filter over rows (keys, counts) of n-grams that occur at least so often."""
-    size = bits // SEGMENTS
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, counts in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                k, n = np.frombuffer(keys, C.U64), np.frombuffer(counts, "<u4").astype(np.int64)
-                top = _levels(n, least)
-                h = [LogBloom.levelled(k[top >= level], level) for level in range(1, int(top.max(initial=0)) + 1)]
-                h = np.sort(np.concatenate(h)) if h else np.zeros(0, C.U64)
-                at = np.searchsorted(h >> C.U64(58), np.arange(SEGMENTS + 1, dtype=C.U64))
-                full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_pydict({"segment": pa.array(full.astype(np.int32)), "body": pa.array([h[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        bloom, s = LogBloom(bits, least=least), table["segment"][0].as_py()
-        for body in table["body"].to_pylist():
-            bloom.add(np.frombuffer(body, C.U64))
-        return pa.table({"segment": pa.array([s], pa.int32()), "data": pa.array([bloom.data[s * size // 8 : (s + 1) * size // 8].tobytes()], pa.binary())})
-
-    segments = C.mapped(grams, send, "segment int, body binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
-    bloom = LogBloom(bits, least=least)
-    for r in segments.collect():  # SEGMENTS rows, bits / 8 bytes in all
-        bloom.data[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(r["data"], np.uint8)
-    return bloom
-
-
-def _least_that_fits(grams: DataFrame, bits: int) -> int:
-    """Smallest power of two from LEAST on at which all insertions fit the filter."""
+_SUMS = "kind string, part int, unit long, exact binary, levels binary, tokens long, types long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS + 1, np.int64)
-        for b in batches:
-            for counts in b["counts"].to_pylist():
-                n = np.frombuffer(counts, "<u4").astype(np.int64)
-                for j in range(1, LEVELS):
-                    some = _levels(n, LEAST << (j - 1))
-                    if not some.any():
-                        break
-                    total[j] += some.sum()
-        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(LEVELS + 1), pa.int32()), "n": pa.array(total)})
 
-    need = {r["j"]: r["n"] for r in C.mapped(grams.select("counts"), run, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
-    return LEAST << next((j - 1 for j in range(1, LEVELS) if need.get(j, 0) * BITS_EACH <= bits), LEVELS - 2)
+def _count_part(table: pa.Table, bits: int) -> pa.Table:
+    """Sums a part and fills its share of the filter; answers each unit with its n-grams' levels, and its words' counts."""
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    bodies = [_opened(x) for x in table["body"].to_pylist()]
+    keys, n = _summed(bodies)
+    levels = modelled(keys, n, bits)
+    rows = [(kind, part, None, None, None, int(n.sum()), int((n > 0).sum()))]
+    for unit, (sent, _) in zip(table["unit"].to_pylist(), bodies, strict=True):
+        at = np.searchsorted(keys, sent)
+        rows.append((kind, part, unit, n[at].tobytes() if kind == "word" else None, levels[at].tobytes(), None, None))
+    names = ("kind", "part", "unit", "exact", "levels", "tokens", "types")
+    types = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), types, strict=True)})
+    del bodies, keys, n, levels, rows
+    C.trim()
+    return out
 
 
 def score(docs: DataFrame, bits: int = BITS, unit_bytes: int = C.UNIT_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text). bits: what a task holds of the filter at a time."""
     spark = docs.sparkSession
     home = C.shared_dir(spark)
     size = C.text_bytes(docs)
@@ -206,37 +180,35 @@ def score(docs: DataFrame, bits: int = BITS, unit_bytes: int = C.UNIT_BYTES) ->
         for u, _ in C.units_in(batches):
             t = _Tokens(u)
             train = ~t.held[t.doc]
-            words = _counted(t.token)
-            seen = _counted(t.token[train])
-            words["n"] = 0
-            words["n"][np.searchsorted(words["key"], seen["key"])] = seen["n"]
-            yield _blobs(u.id, "word", lg, words["key"], words)
-            pairs = _counted(t.pair[train])
-            yield _blobs(u.id, "pair", lg, pairs["key"], pairs)
-
-    sums = C.written(C.mapped(units, send, "kind string, part int, unit long, body binary").groupBy("kind", "part").applyInArrow(_count_part, _SUMS), f"{home}/sums")
-    n, v = sums.where("kind = 'word'").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    grams = sums.where("kind <> 'reply'").select("keys", "counts")
-    bloom = fill(grams, bits, _least_that_fits(grams, bits))
-    shared = spark.sparkContext.broadcast((bloom.bits, bloom.probes, bloom.least, bloom.data))
+            yield _blobs(u.id, "word", lg, *_counted(t.token, train))
+            yield _blobs(u.id, "pair", lg, *_counted(t.pair, train))
+
+    def count(table: pa.Table) -> pa.Table:
+        return _count_part(table, bits)
+
+    sums = C.written(C.mapped(units, send, "kind string, part int, unit long, body binary").groupBy("kind", "part").applyInArrow(count, _SUMS), f"{home}/sums")
+    n, v = sums.where("kind = 'word' AND unit IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     floor = n + 0.5 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBloom(*shared.value)
         for u, r in C.units_in(batches):
             t = _Tokens(u)
             keys, back = np.unique(t.token, return_inverse=True)
-            exact, at = np.zeros(len(keys), np.int64), C.cut(keys, lg)
+            distinct, again = np.unique(t.pair, return_inverse=True)
+            exact, level = np.zeros(len(keys), np.int64), {"word": np.zeros(len(keys), np.uint8), "pair": np.zeros(len(distinct), np.uint8)}
+            at = {"word": C.cut(keys, lg), "pair": C.cut(distinct, lg)}
             for reply in r["replies"] or ():
-                exact[at[reply["part"]] : at[reply["part"] + 1]] = np.frombuffer(reply["body"], np.int64)
+                lo, hi = at[reply["kind"]][reply["part"] : reply["part"] + 2]
+                level[reply["kind"]][lo:hi] = np.frombuffer(reply["levels"], np.uint8)
+                if reply["kind"] == "word":
+                    exact[lo:hi] = np.frombuffer(reply["exact"], np.int64)
             docs = len(u.ids)
             c = exact[back]
             base = np.bincount(t.doc, np.log10((exact + 0.5) / floor)[back], docs)
-            rough = model.counts(keys)
+            rough = _middle(level["word"])
             ahead = np.searchsorted(keys, t.before)
             cv = rough[ahead]
-            distinct, again = np.unique(t.pair, return_inverse=True)
-            cvw = model.counts(distinct)[again]
+            cvw = _middle(level["pair"])[again]
             a = cv / (cv + PRIOR)
             p = a * np.minimum(1.0, cvw / np.maximum(cv, 1.0)) + (1 - a) * ((rough + 0.5) / (floor + 1.0))[back]
             yield pa.RecordBatch.from_pydict({
@@ -245,7 +217,7 @@ def score(docs: DataFrame, bits: int = BITS, unit_bytes: int = C.UNIT_BYTES) ->
                 "base_score": pa.array(base), "score": pa.array(np.bincount(t.doc, np.log10(p), docs)),
             })
 
-    told = C.per_unit(sums.where("kind = 'reply'"), "replies", "body")
+    told = sums.where("unit IS NOT NULL").groupBy("unit").agg(F.collect_list(F.struct("kind", "part", "exact", "levels")).alias("replies"))
     return C.mapped(units.join(told, "unit", "left"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
