@@ -167,6 +167,25 @@ def test_op7(spark, docs, empty):
     assert decontaminate.clean(docs, benchmark).columns == docs.columns
 
 
+@pytest.mark.parametrize("length", [60, 100, 200, 300, 400])
+def test_op7_long_items(length):
+    """Every copy at the edit limit is found, with no more edits than it has."""
+    rng, copies = random.Random(length), 24
+    word = lambda: f"u{rng.randrange(5000)}"
+    block = decontaminate.Items([0], [" ".join(item := [word() for _ in range(length)])])
+    most, texts = decontaminate.edits_allowed(length), []
+    for n in range(copies):
+        words = list(item)
+        for at in rng.sample(range(length), most):
+            words[at] = word() if n % 2 else rng.choice(("", word(), f"{words[at]} {word()}"))
+        texts.append(" ".join([word() for _ in range(40)] + [w for w in words if w] + [word() for _ in range(40)]))
+    data = [t.encode() for t in texts]
+    words, bounds = decontaminate.words_of(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in data]))))
+    got = {d: e for d, _, e, _, _ in block.matches(words, bounds)}
+    assert set(got) == set(range(copies))
+    assert all(got[n] == brute.nearest(item, texts[n].split()) for n in (0, 1))
+
+
 @pytest.mark.parametrize("tokens", [ngram_join.FAMILY_TOKENS, 900])
 def test_op8(spark, docs, empty, tokens):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.join(docs, unit_bytes=1 << 13, family_tokens=tokens).collect()}
