@@ -202,6 +202,20 @@ def test_op8_tables(spark, docs, empty, sf, sample):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= want - {7, 8, 10}
 
 
+def test_rows_without_own_id(spark):
+    """Stages decide on rows: null ids don't shelter copies or leaks, and a repeated id does not take clean rows along."""
+    other, third, leak = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(None, PASSAGE), (None, PASSAGE), (1, PASSAGE), (2, PASSAGE + " c"), (2, other), (2, other), (3, third), (3, PASSAGE), (None, leak), (3, leak + " c"), (4, None), (4, ""), (None, None), (5, "one"), (5, "one")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
+    ordered = lambda rows: sorted(rows, key=repr)
+    out = ngram_join.keep_one(docs)
+    want = [(None, PASSAGE), (2, other), (3, third), (None, leak), (4, None), (4, ""), (None, None), (5, "one")]
+    assert out.columns == docs.columns and ordered((r.doc_id, r.text) for r in out.collect()) == ordered(want)
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    want = [x for x in rows if x not in ((None, leak), (3, leak + " c"))]
+    assert out.columns == docs.columns and ordered((r.doc_id, r.text) for r in out.collect()) == ordered(want)
+
+
 def test_op9(spark):
     page = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><a href=x>Home</a></nav>
       <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>The first text of the <b>story</b> is here, and it goes on for a while with many words.<br>Second

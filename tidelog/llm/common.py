@@ -48,6 +48,16 @@ def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not by else df.sparkSession.read.parquet(path)
 
 
+#: Column of row keys.
+ROW = "_tidelog_row"
+
+
+def with_row_keys(docs: DataFrame, path: str) -> DataFrame:
+    """The rows with a key of their own in ROW, written, so each keeps it: ids may be null or stand in several rows."""
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

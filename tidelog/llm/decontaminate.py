@@ -230,7 +230,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which no item leaks; rows with a null id stay."""
-    spark = docs.sparkSession
-    hit = C.written(leaks(docs, benchmark).select("doc_id").distinct(), C.shared_dir(spark))
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows into which no item leaks, whatever their ids."""
+    home = C.shared_dir(docs.sparkSession)
+    rows = C.with_row_keys(docs, f"{home}/rows")
+    hit = leaks(rows.select(F.col(C.ROW).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(C.ROW)).distinct()
+    return rows.join(C.written(hit, f"{home}/hit"), C.ROW, "left_anti").select(*docs.columns)

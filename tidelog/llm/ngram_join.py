@@ -319,12 +319,11 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
 
 
 def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents without those that link, directly or through others, with one of smaller doc_id; of rows with equal ids one stays if their texts are alike. Rows with a null id stay."""
-    found = join(docs, words, share).select("doc_id", "component_id")
-    gone = C.written(found.where("doc_id <> component_id").select("doc_id").distinct(), f"{C.shared_dir(docs.sparkSession)}/gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if twice.limit(1).count():
-        again = out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-        out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
-    return out
+    """Of rows that link, directly or through others, the one with the smallest doc_id, a null one being smaller than all others; of several with this id any one. Rows that link with none stay, whatever their ids."""
+    home = C.shared_dir(docs.sparkSession)
+    rows = C.with_row_keys(docs, f"{home}/rows")
+    found = join(rows.select(F.col(C.ROW).alias("doc_id"), "text"), words, share).select(F.col("doc_id").alias(C.ROW), "component_id")
+    members = C.written(found.join(rows.select(C.ROW, F.col("doc_id").cast("long").alias("doc_id")), C.ROW), f"{home}/members")
+    stay = members.groupBy("component_id").agg(F.min(F.struct("doc_id", C.ROW)).alias("least")).select(F.col(f"least.{C.ROW}").alias(C.ROW))
+    gone = C.written(members.join(stay, C.ROW, "left_anti").select(C.ROW), f"{home}/gone")
+    return rows.join(gone, C.ROW, "left_anti").select(*docs.columns)
