@@ -260,6 +260,14 @@ def test_op10_plan(seed):
     assert packing.plan({40: 3, 24: 2, 12: 2}, 64) and sum(n for _, n in packing.plan({40: 3, 24: 2, 12: 2}, 64)) == 3
 
 
+def test_op10_all_triples():
+    """An exact fill is found behind any number of longer second parts, and where parts are alike."""
+    many = {2096: 1, 700: 1, 650: 2} | {x: 1 for x in range(1400, 2000)}
+    assert ((2096, 700, 650, 650), 1) in packing.plan(many)
+    assert packing.plan({16: 4}, 64) == [((16, 16, 16, 16), 1)]
+    assert sum(n for _, n in packing.plan({30: 2, 2: 2}, 64)) == 1
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 

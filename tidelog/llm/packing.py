@@ -3,7 +3,9 @@
 Texts become token ids (word by word through a memo, which gives the same ids as the whole text because the tokenizer never
 looks across ASCII white space), documents longer than a sequence are cut, and only the histogram of piece lengths goes to the
 driver: as many numbers as a sequence has tokens, whatever the corpus. There, single, pair and triple sums that fill the gap of
-the longest open length exactly are consumed in bulk under the counts; what is left is packed best fit, in bulk too. The result
+the longest open length exactly are consumed in bulk under the counts; what is left is packed best fit, in bulk too. A single
+complement is read from the histogram; pairs are looked up in an index of how many pairs of lengths have each sum, kept up to date
+as lengths run out, and triples are a second length, any that is there, with a pair from the index. The result
 is a short list of patterns with multiplicities; pieces find their place by their rank among those of their length, which is
 counted per task and then offset, so no task orders a common length alone.
 
@@ -91,6 +93,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     for length, n in counts.items():
         have[length] += n
     out: list[tuple[tuple[int, ...], int]] = []
+    # sums[s]: pairs of lengths with this sum, of which there is a piece each (two of a length that pairs with itself).
+    sums = np.zeros(2 * capacity + 1, np.int64)
+    some = np.flatnonzero(have)
+    for k, x in enumerate(some):
+        sums[x + some[k + 1 :]] += 1
+    sums[2 * np.flatnonzero(have > 1)] += 1
+
+    def used(x: int, n: int) -> None:
+        before = have[x]
+        have[x] -= n
+        if before > 1 >= have[x]:
+            sums[2 * x] -= 1
+        if not have[x]:
+            sums[x + np.flatnonzero(have)] -= 1
 
     def take(lengths: tuple[int, ...]) -> bool:
         need: dict[int, int] = {}
@@ -99,19 +115,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         n = min(int(have[x]) // k for x, k in need.items())
         if n:
             for x, k in need.items():
-                have[x] -= n * k
+                used(x, n * k)
             out.append((lengths, n))
         return n > 0
 
-    def pair(gap: int, first: int) -> tuple[int, int] | None:
-        """The pair that fills gap with the largest longer part, both available beside first."""
+    def pair(gap: int, *beside: int) -> tuple[int, int] | None:
+        """The pair that fills gap with the largest longer part, both available beside others."""
+        if not sums[gap]:
+            return None
         low = np.arange(1, gap // 2 + 1)
         ok = (have[low] > 0) & (have[gap - low] > 0)
         for x in low[ok]:
             y = gap - int(x)
-            need = {int(x): 1}
-            need[y] = need.get(y, 0) + 1
-            need[first] = need.get(first, 0) + 1
+            need: dict[int, int] = {}
+            for v in (int(x), y, *beside):
+                need[v] = need.get(v, 0) + 1
             if all(have[v] >= k for v, k in need.items()):
                 return y, int(x)
         return None
@@ -125,9 +143,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             if gap > 1 and (p := pair(gap, a)) and take((a, *p)):
                 continue
             done = False
-            for b in np.flatnonzero(have[: min(gap, a + 1)])[::-1][:256]:  # triples: the largest part first
+            second = np.arange(min(gap - 1, a), 0, -1)  # triples: the largest part first
+            for b in second[(have[second] > 0) & (sums[gap - second] > 0)]:
                 b = int(b)
-                if gap - b > 1 and (p := pair(gap - b, b)) and take((a, b, *p)):
+                if (p := pair(gap - b, a, b)) and take((a, b, *p)):
                     done = True
                     break
             if not done:
