@@ -247,6 +247,20 @@ def test_op10(spark, docs, empty, sf, sample):
     assert packing.pack(with_null(spark, docs), path).count() == packing.pack(docs, path).count() + 3
 
 
+def test_op10_words(monkeypatch):
+    """Words of all sorts get the ids of the tokenizer itself, whatever the memo still holds."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO_BYTES", 1 << 12)
+    rng, path = random.Random(7), queries.tokenizer_path()
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode._merges is not None
+    texts = ["", " ", "<|endoftext|> a<|startoftext|>b", "\u03a3\u03b1\u03c2 \u0130stanbul \u65e5\u672c\u8a9e \u00bd x\u00b2 don't we'll 's I'M a\x1cb \x85 e\u0301", "__init__ a_b-c 12345 a1b2 \u00aa\u00ba\u00df"]
+    texts += ["".join(chr(rng.choice([rng.randrange(33, 127), rng.randrange(161, 384), rng.randrange(33, 12288), 32, 10])) for _ in range(120)) for _ in range(300)]
+    for some in (texts, texts[::-1]):
+        assert encode(some) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_op10_plan(seed):
     rng = random.Random(seed)

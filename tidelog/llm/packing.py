@@ -14,9 +14,14 @@ Defined cases: null and empty texts are the end token alone; rows with one doc_i
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,37 +30,132 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common as C
 
-CAPACITY, END, MEMO = 4096, 1, 1 << 18
+CAPACITY, END = 4096, 1
+#: What a worker process may keep of words and their ids (and as much again of parts of words), and what an entry takes beside both.
+MEMO_BYTES, ENTRY_BYTES = 160 << 20, 190
+
+#: Stands between the ids of words.
+_BETWEEN = 0xFFFFFFFF
+#: Words with other signs than plain ones, among them white space, combining signs and letters whose lower case depends on their neighbours; and words that may hold a special token.
+_ODD = re.compile("[^!-~\xa1-\u012f\u0131-\u017f]|<\\|").search
+
+
+def _of_category(letter: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(33, 0x180)) if unicodedata.category(c)[0] == letter)
+
+
+# The tokenizer's pattern of parts, said for plain signs.
+_CUT = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_of_category('L')}]+|[{_of_category('N')}]|[^\\s{_of_category('L')}{_of_category('N')}]+").findall
+# The steps of a tokenizer before its merges that _encoded() repeats.
+KNOWN_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"]
+# Byte-level vocabularies spell printable bytes as themselves and the others as characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _steps(spec: dict) -> list[str | None]:
+    """Names of a tokenizer's steps, its pattern of parts, and how its parts end."""
+    every = [s for key, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for s in (spec[key] or {}).get(of, ())]
+    return [s["type"] for s in every] + [s["pattern"]["Regex"] for s in every if s["type"] == "Split"] + [spec["model"].get("end_of_word_suffix")]
+
+
+class _Memo(dict):
+    """Ids of strings in two generations. A string that neither has gets an empty bytearray, to be filled with the others of new."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.old, self.new, self.held = most, 0, {}, [], []
+
+    def __missing__(self, s: str) -> bytes | bytearray:
+        v = self.old.get(s)
+        if v is None:
+            v = bytearray()
+            self.new.append(s)
+            self.held.append(v)
+        else:
+            self.size += ENTRY_BYTES + len(s) + len(v)
+        self[s] = v
+        return v
+
+    def fill(self, ids: list[bytes]) -> None:
+        """The ids of all of new, in order."""
+        deque(map(bytearray.extend, self.held, ids), 0)
+        self.update(zip(self.new, ids, strict=True))
+        self.size += ENTRY_BYTES * len(ids) + sum(map(len, self.new)) + sum(map(len, ids))
+        self.new, self.held = [], []
+        if self.size > self.most // 2:  # strings of the last generation that come up again move over
+            self.old, self.size = dict(self), 0
+            self.clear()
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers. Words of plain letters and signs that no memo has are cut as the tokenizer cuts them, and all their parts go to its merges in one string; other words go to the tokenizer whole."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    kept: ClassVar[dict[str, Encoder]] = {}
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._whole = Tokenizer.from_file(path)
+        self._words, self._parts = _Memo(MEMO_BYTES), _Memo(MEMO_BYTES)
+        spec = json.loads(self._whole.to_str())
+        if _steps(spec) == KNOWN_STEPS:
+            self._merges = Tokenizer(self._whole.model)
+            self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = spec["model"]["vocab"]
+            self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._last[[i for w, i in vocabulary.items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        else:
+            self._merges = None
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this worker process, which keeps its memo from task to task."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-        if len(self._memo) > MEMO:  # words of the last generation that come up again move over
-            self._memo, self._old = {}, self._memo
-        memo, old = self._memo, self._old
-        new = []
-        for w in set().union(*split):
-            if w not in memo:
-                if w in old:
-                    memo[w] = old[w]
-                else:
-                    new.append(w)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        get = self._words.__getitem__
+        found = [list(map(get, t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" "))) for t in texts]
+        if new := self._words.new:
+            odd = [w for w in new if self._merges is None or _ODD(w)]
+            if not odd:
+                self._words.fill(self._encoded(new))
+            else:
+                known = dict(zip(odd, self._by_tokenizer(odd), strict=True))
+                rest = iter(self._encoded([w for w in new if w not in known]))
+                self._words.fill([known[w] if w in known else next(rest) for w in new])
+        return [b"".join(ids) for ids in found]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Plain words, all at once; an id that no token has follows each."""
+        if not words:
+            return []
+        after = np.array([_BETWEEN], "<u4").tobytes()
+        self._parts["\n"] = after
+        found = list(map(self._parts.__getitem__, _CUT("\n".join(words).lower())))
+        if new := self._parts.new:
+            self._parts.fill(self._merged(new))
+        found.append(after)
+        flat = b"".join(found)
+        ends = np.flatnonzero(np.frombuffer(flat, "<u4") == _BETWEEN) * 4
+        return [flat[lo:hi] for lo, hi in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Each part alone through the merges: its ids end with one that ends a part."""
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_SIGNS) for p in parts]
+        asked = [" ".join(spelled[k : k + 4096]) for k in range(0, len(spelled), 4096)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self._merges.encode_batch_fast(asked, add_special_tokens=False)])
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            raise ValueError("the tokenizer's merges leave a part without an end")
+        flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [flat[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+
+    def _by_tokenizer(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 4096):
+            for e in self._whole.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -67,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, task, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = Encoder.of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
         for b in C.batches_of(batches, 1 << 20):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids")}
