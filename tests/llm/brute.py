@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 from math import log10
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +125,12 @@ def pieces(t, tokenizer, capacity=4096):
     return [(k, at, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for k, at in enumerate(range(0, len(ids), capacity)) for x in [ids[at : at + capacity]]]
 
 
+def article(page):
+    """Text of a page whose article is marked and holds only h1, p, b and br."""
+    body = re.search("<article>(.*?)</article>", page, re.S)[1].replace("<b>", "").replace("</b>", "").replace("<br>", " ")
+    return " ".join(x for x in (" ".join(unescape(b).split()) for b in re.split("</?(?:p|h1)>", body)) if x)
+
+
 def nearest(item, region):
     """Edits from item to the nearest run of region."""
     before = [0] * (len(region) + 1)
