@@ -242,7 +242,7 @@ def test_op9_pages(spark, sf):
     assert {r.page_id: r.text for r in got} == {k: brute.article(r.html) for k, r in pages.items()}
     found = [html_extract.blocks(r.html) for r in pages.values()]
     bare = [html_extract.labels([b._replace(article=False) for b in f]) == html_extract.labels(f) for f in found]
-    assert np.mean(bare) > 0.8
+    assert np.mean(bare) > 0.7
 
 
 @pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000 + ">", '<a ">" ' * 150_001 + '"', "<div>" * 100_000 + "</p>" * 100_000, "&#" + "9" * 1_000_000, "<script>" * 120_000, "<" * 1_000_000, '<div class="' * 90_000])
