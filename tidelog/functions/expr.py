@@ -79,7 +79,26 @@ def overlaps(left_a: Column, right_a: Column, left_b: Column, right_b: Column, i
     return both if inf is None else inf | both
 
 
-def common_prefix(a: Column, b: Column, most: int = 64) -> Column:
-    """Length of the longest common prefix of two strings, looked for up to most characters."""
-    upto = F.least(F.length(a), F.length(b), F.lit(most))
-    return F.aggregate(F.sequence(F.lit(0), upto), F.lit(0), lambda acc, i: F.when(F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i), F.greatest(acc, i)).otherwise(acc))
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix of two strings or byte strings, by bisection: keys have at most 2**20 bytes."""
+    low, high = F.lit(0), F.least(F.length(a), F.length(b))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.ceil((s["lo"] + s["hi"]) / 2).cast("int")
+        same = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
+        return F.struct(F.when(same, middle).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(middle - 1).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(high + 2)).cast("int"))
+    return F.aggregate(steps, F.struct(low.alias("lo"), high.cast("int").alias("hi")), lambda s, i: F.when(s["lo"] < s["hi"], halve(s, i)).otherwise(s), lambda s: s["lo"])
+
+
+def same_range(left_a: Column, right_a: Column, left_b: Column, right_b: Column, inf_a: Column | None = None, inf_b: Column | None = None) -> Column:
+    """Two ranges have the same ends, nulls included, and are bounded alike."""
+    same = left_a.eqNullSafe(left_b) & right_a.eqNullSafe(right_b)
+    return same if inf_a is None else same & inf_a.eqNullSafe(inf_b)
+
+
+def display(c: Column | str, otherwise: str = "<not UTF-8>") -> Column:
+    """A byte string as text; a fixed text where it isn't UTF-8."""
+    b = col(c).cast("binary")
+    return F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).when(b.isNotNull(), F.lit(otherwise))

@@ -4,6 +4,9 @@ A window without PARTITION BY, or one over a hot key, sends its rows to one task
 chunks: each chunk is summed alone, the few chunk totals are summed in turn, and both are added.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +14,16 @@ CHUNK = 1 << 20
 
 
 def running_sum(df: DataFrame, amount: Column, order: str, out: str, keys: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Adds out: the sum of amount over the rows of the same keys up to this one by the integer column order (unique within keys)."""
+    """Adds out: the sum of amount over the rows of the same keys up to this one by the integer column order (unique within keys). Null keys are a key of their own; rows with a null order come first, in any order."""
     df = df.withColumns({"_c": F.floor(F.col(order) / chunk), "_a": amount})
     totals = df.groupBy(*keys, "_c").agg(F.sum("_a").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_c", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    again = [F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_c"))]
+    totals = totals.select(*again, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
     inside = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    both = df.withColumn("_s", F.sum("_a").over(inside)).join(totals, [*keys, "_c"])
-    return both.withColumn(out, F.col("_s") + F.col("_b")).drop("_c", "_a", "_s", "_b")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_c"))])
+    both = df.withColumn("_s", F.sum("_a").over(inside)).join(totals, same)
+    return both.withColumn(out, F.col("_s") + F.col("_b")).drop("_c", "_a", "_s", "_b", *(f"_k{i}" for i in range(len(keys) + 1)))
 
 
 def dense_rank_by_chunks(df: DataFrame, order: str, out: str, base: int = 0, chunk: int = CHUNK) -> DataFrame:

@@ -12,7 +12,8 @@ KEY_TOO_BIG, VALUE_TOO_BIG, INVALID = "KEY_TOO_BIG", "VALUE_TOO_BIG", "INVALID_R
 # Fixed limits and planner constants.
 MAX_KEY, MAX_VALUE = 1 << 20, 1 << 30
 VALUE_THRESHOLD = 20
-LOG_FILE_MIN, LOG_FILE_MAX = 1 << 20, 2 << 30
+MAX_USER_META = 255
+LOG_FILE, TABLE_SIZE = 1 << 30, 64 << 20
 LEVELS, LEVEL_ONE, LEVEL_FACTOR, L0_TABLES = 7, 256 << 20, 10, 5
 ROW_HEADER, ENTRY_OVERHEAD = 10, 36
 MANIFEST_DELETES, MANIFEST_RATIO = 10_000, 10
@@ -29,6 +30,10 @@ ROW = T.StructType(
         T.StructField("value", T.BinaryType(), True),
     ]
 )
+#: A version as tables keep it: large values stand in the value log, at (fid, offset).
+STORED = T.StructType([*ROW.fields, *(T.StructField(c, T.LongType(), True) for c in ("fid", "offset", "len"))])
+#: An entry of the value log.
+ENTRY = T.StructType([T.StructField(c, T.LongType()) for c in ("fid", "offset", "len")] + [*ROW.fields])
 OPS = T.StructType([*ROW.fields, T.StructField("cas_check", T.LongType(), False)])
 CHANGE = T.StructType(
     [T.StructField("change_set", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("op", T.StringType()), T.StructField("level", T.IntegerType())]
@@ -57,3 +62,7 @@ class InvalidRequest(StoreError):
 
 class BadManifest(StoreError):
     """A manifest holds an impossible change or the wrong format."""
+
+
+class MissingFiles(StoreError):
+    """The manifest names files that are not there."""
