@@ -1,12 +1,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import Store
 from tidelog import schema as S
+from tidelog.functions import expr
 from tidelog.functions.expr import successor
-from tidelog.operators import apply, manifest, merge, valuelog
-from tidelog.sources import backup
+from tidelog.operators import apply, compact, manifest, merge, prefix, valuelog
+from tidelog.sources import backup, log_codec, manifest_codec
 
 OPS = "key string, cas bigint, meta int, user_meta int, cas_check bigint, value string"
 
@@ -86,3 +88,129 @@ def test_small_pieces(spark):
     changes = spark.createDataFrame([(i, 0, i % 3, "CREATE", 1, i < 2) for i in range(3)], "change_set long, seq int, id long, op string, level int, crc_ok boolean")
     assert manifest.valid_prefix(changes).count() == 2
     assert manifest.as_changes(manifest.replay(changes)).count() == 3
+
+
+def check(db, model):
+    assert {bytes(r.key): bytes(r.value) for r in db.view().collect()} == model
+    assert compact.violations(db.table_stats()).count() == 0
+
+
+def test_levels(spark, tmp_path):
+    """Flushes, moves, merges and reopening against a dict; tombstones go only at the bottom."""
+    rng, model = random.Random(4), {}
+    small = {"table_size": 500, "level_one": 1000, "l0_tables": 2, "value_threshold": 60, "manifest_deletes": 3, "manifest_ratio": 0}
+    with Store(spark, f"{tmp_path}/db", **small) as db:
+        for turn in range(4):
+            rows = []
+            for i in range(70):
+                key, gone = f"k{rng.randrange(100):03}".encode(), rng.random() < 0.2
+                value = f"{turn}-{i}".encode() * rng.choice((1, 5, 20))
+                rows.append((i, bytearray(key), None if gone else bytearray(value), int(gone), 0, 0))
+                model.pop(key, None) if gone else model.update({key: value})
+            db.put_batch(spark.createDataFrame(rows, "ordinal long, key binary, value binary, meta int, user_meta int, cas_check long")).count()
+            steps = db.compact_due()
+            check(db, model)
+        assert steps and {s for _, s in steps} <= {"merged", "moved"}
+        assert len(db.manifest.of("table")) > 2 and any(e["level"] > 0 for e in db.manifest.of("table"))
+        assert any(n.endswith(".snap") for n in db._files.names("manifest"))
+        top = next(e for e in db.manifest.of("table") if e["level"] > 0)
+        moved = Store.compact_level(db, top["level"])
+        assert moved in ("merged", "moved")
+        assert db.busy.add(0, b"a", b"z") and not db.busy.add(1, b"b", b"c") and db.compact_level(0) in ("busy", "nothing")
+        db.busy.remove(0, b"a", b"z")
+        tables = {e["path"] for e in db.manifest.of("table")}
+        some = next(iter(model))
+        assert db.get(some)["value"] == model[some] and db.get(b"k") is None
+        series = {r.label: r.value for r in db.metrics().collect()}
+        assert len(series) == 14 and series["num_puts"] == 280 and series["num_gets"] == 2 and series["lsm_size"] > 0 and series["vlog_size"] > 0
+    with Store(spark, f"{tmp_path}/db", **small) as db:
+        assert {e["path"] for e in db.manifest.of("table")} == tables
+        check(db, model)
+        db.compact()
+        assert {e["level"] for e in db.manifest.of("table")} == {S.LEVELS - 1} and db.versions().count() == len(model)
+        check(db, model)
+
+
+def test_gc(spark, tmp_path):
+    schema = "ordinal long, key binary, value binary, meta int, user_meta int, cas_check long"
+    batch = lambda n, c: spark.createDataFrame([(i, bytearray(f"k{i:02}".encode()), bytearray(c * 100), 0, 0, 0) for i in range(n)], schema)
+    with Store(spark, f"{tmp_path}/db") as db:
+        db.put_batch(batch(10, b"a")).count()
+        db.put_batch(batch(7, b"b")).count()
+        before = {bytes(r.key): r.cas for r in db.view().collect()}
+        with pytest.raises(S.InvalidRequest):
+            db.gc(1.0)
+        with pytest.raises(S.NoRewrite):
+            db.gc(0.9, least=1)
+        db._gc.acquire()
+        with pytest.raises(S.Rejected):
+            db.gc(0.5, least=1)
+        db._gc.release()
+        with db.reader() as view:
+            assert db.gc(0.5, least=1) == 1
+            db.vacuum()
+            assert view.count() == 10  # its files are still there
+        assert db.vacuum() > 0
+        after = {bytes(r.key): (r.cas, bytes(r.value)) for r in db.view().collect()}
+        assert {k: v for k, (_, v) in after.items()} == {f"k{i:02}".encode(): (b"b" if i < 7 else b"a") * 100 for i in range(10)}
+        assert all(after[k][0] == before[k] if k < b"k07" else after[k][0] > before[k] for k in before)  # only what stood in the file has moved
+        assert {e["id"] for e in db.manifest.of("log")} == {2, 3}
+    with Store(spark, f"{tmp_path}/db") as db:
+        assert db.view().count() == 10 and db.manifest.next_id("log") == 4
+
+
+def test_manifest_files(spark, tmp_path):
+    path = f"{tmp_path}/db"
+    with Store(spark, path, value_threshold=1000) as db:
+        for k in (b"a", b"b", b"c"):
+            db.set(k, b"v")
+        sets = sorted(n for n in db._files.names("manifest"))
+        with pytest.raises(S.BadManifest):
+            db.manifest._apply({"set": 9, "last_cas": 9, "applied": {}, "changes": [{"op": "DELETE", "kind": "table", "id": 77}]})
+    last = f"{path}/manifest/{sets[-1]}"
+    data = open(last, "rb").read()
+    open(last, "wb").write(data.replace(b"CREATE", b"CREATF"))
+    with Store(spark, path) as db:  # the damaged set never happened, its table goes
+        assert db.manifest.truncated == sets[-1] and [bytes(r.key) for r in db.scan().collect()] == [b"a", b"b"]
+        assert db.set(b"d", b"w") == S.OK and db.get(b"d")["cas"] == 3
+        stale = db
+        with Store(spark, path, takeover=True) as other:
+            assert other.view().count() == 3
+            with pytest.raises(S.StoreError):
+                stale.set(b"e", b"x")
+    with Store(spark, path) as db:
+        files = db.manifest.of("table")
+        db._files.delete(files[0]["path"])
+    with pytest.raises(S.MissingFiles):
+        Store(spark, path)
+    with pytest.raises(S.MissingFiles):  # and it left no lock behind
+        Store(spark, path)
+
+
+def test_codecs():
+    sets = [[(1, "CREATE", 0), (300, "DELETE", 2)], [(0, "CREATE", 6)]]
+    data = manifest_codec.write(sets)
+    assert [s for _, s in manifest_codec.read(data)] == sets
+    cut = [at for at, _ in manifest_codec.read(data)]
+    assert [s for _, s in manifest_codec.read(data[:-1])] == sets[:1] and cut[-1] == len(data)
+    damaged = bytearray(data)
+    damaged[cut[0] - 1] ^= 1
+    assert list(manifest_codec.read(bytes(damaged))) == []
+    with pytest.raises(S.BadManifest):
+        list(manifest_codec.read(b"XXXX" + data[4:]))
+    one, two = log_codec.encode(b"key", b"value", 1, 255, 9, 8), log_codec.encode(b"", b"", 0, 0, 1)
+    assert list(log_codec.decode(one + two)) == [(0, b"key", b"value", 1, 255, 9, 8), (len(one), b"", b"", 0, 0, 1, 0)]
+    assert len(one) == 8 + S.ENTRY_OVERHEAD and len(list(log_codec.decode(one + two[:-1]))) == 1
+    with pytest.raises(S.InvalidRequest):
+        backup.frame(b"k", b"v", 256)
+
+
+def test_long_segment_and_odd_rows(spark):
+    """A chain of comparing writes on one key is linear; null orders and keys keep their rows."""
+    n = 20_000
+    ops = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") + 1).alias("cas"), F.lit(0).alias("meta"), F.lit(0).alias("user_meta"), F.when(F.col("id") % 2 == 1, F.col("id")).otherwise(F.lit(0)).alias("cas_check"), F.lit("v").alias("value"))
+    assert apply.apply_status(ops).where("status = 'OK'").count() == n
+    rows = spark.createDataFrame([(None, 1), (5, 2), (7, 4)], "o long, v long")
+    assert {(r.o, r.s) for r in prefix.running_sum(rows, F.col("v"), "o", "s").collect()} == {(None, 1), (5, 3), (7, 7)}
+    keys = spark.createDataFrame([("x" * 100 + "a", "x" * 100 + "b"), ("", "a"), ("ab", "ab")], "a string, b string")
+    assert [r.n for r in keys.select(expr.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [100, 0, 2]

@@ -22,4 +22,6 @@ def test_group_commit(spark, sf, tmp_path):
     with Store(spark, f"{tmp_path}/db") as db:
         q = ingest.into_store(spark.readStream.schema(ops.schema).parquet(f"{tmp_path}/ops"), db, f"{tmp_path}/cp")
         q.awaitTermination(120)
-        assert db.view().count() > 0 and db.manifest["last_cas"] == ops.count()
+        assert db.view().count() > 0 and db.manifest.last_cas == ops.count()
+        again = db.put_batch(ops, f"{tmp_path}/cp", 0)  # the same batch once more: answered, not applied
+        assert again.count() == ops.count() and db.manifest.last_cas == ops.count()

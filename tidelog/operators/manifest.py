@@ -26,8 +26,15 @@ def counts(changes: DataFrame, threshold: int = S.MANIFEST_DELETES, ratio: int =
 
 
 def as_changes(state: DataFrame) -> DataFrame:
-    """The state as one change set."""
-    return state.select(F.lit(0).cast("long").alias("change_set"), F.row_number().over(Window.partitionBy("level").orderBy("id")).alias("seq"), "id", F.lit("CREATE").alias("op"), "level")
+    """The state as one change set, which a rewrite puts in place of the log; seq runs through all levels (a row a table, so one task numbers them)."""
+    return state.select(F.lit(0).cast("long").alias("change_set"), F.row_number().over(Window.orderBy("level", "id")).alias("seq"), "id", F.lit("CREATE").alias("op"), "level")
+
+
+def checksums(changes: DataFrame) -> DataFrame:
+    """(change_set, crc): CRC-32 over a set's changes, spelled 'op id level' in order of seq and id, a line each."""
+    line = F.struct("seq", "id", F.concat_ws(" ", "op", "id", "level").alias("l"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"])
+    return changes.groupBy("change_set").agg(F.crc32(F.array_join(lines, "\n").cast("binary")).alias("crc"))
 
 
 def valid_prefix(changes: DataFrame, ok: str = "crc_ok") -> DataFrame:

@@ -7,6 +7,38 @@ from tidelog import schema as S
 from tidelog.functions import expr
 
 
+# The series that metrics() reports. No write waits, nothing is held in memory tables and Parquet builds its own
+# Bloom filters, so pending_writes, num_blocked_puts, num_mem_tables_gets and block_hash_calc_cost stay 0; num_lsm_bloom_hits counts
+# tables skipped by their key range.
+SERIES = (
+    "lsm_size", "vlog_size", "pending_writes", "num_reads", "num_writes", "num_bytes_read", "num_bytes_written", "num_lsm_gets", "num_lsm_bloom_hits", "num_gets", "num_puts", "num_blocked_puts",
+    "num_mem_tables_gets", "block_hash_calc_cost",
+)
+
+
+def series(rows: DataFrame) -> DataFrame:
+    """(label, value) out of one row of counters, a label a column; series it lacks are 0."""
+    known = [F.struct(F.lit(c).alias("label"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) if c in rows.columns else F.struct(F.lit(c).alias("label"), F.lit(0).cast("long").alias("value")) for c in SERIES]
+    return rows.select(F.explode(F.array(*known)).alias("m")).select("m.*")
+
+
+def write_metrics(ops: DataFrame, status: DataFrame, threshold: int = S.VALUE_THRESHOLD) -> DataFrame:
+    """The series that a batch of ops (key, cas, meta, value) with their statuses moves."""
+    done = ops.join(status.select("cas", "status"), "cas").withColumn("_ok", F.col("status") == S.OK)
+    logged = F.col("_ok") & expr.live() & (expr.size_of("value") >= threshold)
+    return series(done.agg(
+        F.count("*").alias("num_puts"), F.count_if("_ok").alias("num_writes"),
+        F.sum(F.when(F.col("_ok"), expr.write_size(threshold=threshold))).alias("lsm_size"),
+        F.sum(F.when(logged, expr.entry_size())).alias("vlog_size"),
+        F.sum(F.when(F.col("_ok"), expr.write_size(threshold=threshold) + F.when(logged, expr.entry_size()).otherwise(0))).alias("num_bytes_written"),
+    ))
+
+
+def request_counts(ops: DataFrame, request: str = "request") -> DataFrame:
+    """(request, entries, bytes) of each request of a group commit."""
+    return ops.groupBy(request).agg(F.count("*").alias("entries"), F.sum(expr.entry_size()).alias("bytes"))
+
+
 def size_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("*").alias("rows"),

@@ -1,10 +1,11 @@
 """Separating large values into a blob log, reading them back, and collecting its garbage."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
 from tidelog.functions import expr
+from tidelog.operators.apply import apply_ops
 from tidelog.operators.prefix import running_sum
 
 
@@ -36,11 +37,33 @@ def read_entries(blobs: DataFrame, fid: int, offset: int, n: int) -> DataFrame:
     return blobs.where((F.col("fid") == fid) & (F.col("offset") >= offset)).orderBy("offset").limit(n)
 
 
+def iterate(log: DataFrame, fid: int, until_bytes: int | None = None, until: Column | None = None) -> DataFrame:
+    """Entries of a file in order, up to the one with which until_bytes are read, or to the first for which until holds, that one included."""
+    rows = log.where(F.col("fid") == fid)
+    if until_bytes is not None:
+        rows = rows.where(F.col("offset") < until_bytes)
+    if until is not None:
+        stop = rows.where(until).agg(F.min("offset").alias("_stop"))
+        rows = rows.join(F.broadcast(stop), F.col("_stop").isNull() | (F.col("offset") <= F.col("_stop"))).drop("_stop")
+    return rows.orderBy("offset")
+
+
 def replay(log: DataFrame, fid: int, offset: int) -> DataFrame:
     """Entries after a pointer, in log order."""
     return log.where((F.col("fid") > fid) | ((F.col("fid") == fid) & (F.col("offset") > offset)))
 
 
+def recover(log: DataFrame, fid: int, offset: int, view: DataFrame | None = None) -> DataFrame:
+    """State of each key that the entries after a pointer touch: they are applied once more, in order of their counters, to the view as it was at the pointer."""
+    rest = replay(log, fid, offset)
+    return apply_ops(rest if "cas_check" in rest.columns else rest.withColumn("cas_check", F.lit(0).cast("long")), view)
+
+
+def clean_files(all_ids: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Ids of log files without the dirty ones, in order."""
+    return all_ids.select("fid").distinct().join(dirty.select("fid").distinct(), "fid", "left_anti").orderBy("fid")
+
+
 def last_pointer(log: DataFrame) -> DataFrame:
     return log.agg(F.max(F.struct("fid", "offset", "len")).alias("_p")).select("_p.*")
 
@@ -70,6 +93,14 @@ def gc_candidates(stats: DataFrame, ratio: float, least: int = S.GC_MIN_BYTES) -
     return stats.join(F.broadcast(newest), F.col("fid") < F.col("_n")).where(worth).drop("_n").orderBy((F.col("discard_bytes") / F.col("total_bytes")).desc(), "fid")
 
 
+def gc_pick(stats: DataFrame, ratio: float, least: int = S.GC_MIN_BYTES) -> int:
+    """The file to rewrite; NoRewrite if none is worth it. Statistics are a row a file."""
+    found = gc_candidates(stats, ratio, least).first()
+    if found is None:
+        raise S.NoRewrite(f"no file but the newest has {least} bytes of which {ratio:.0%} are garbage")
+    return found["fid"]
+
+
 def gc_rewrite(log: DataFrame, current: DataFrame, fid: int) -> DataFrame:
     """The entries of a file that stay, as ops guarded by their own counter."""
     kept = classify(log.where(F.col("fid") == fid), current).where("keep")

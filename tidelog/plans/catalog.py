@@ -117,16 +117,16 @@ def kv_keys_only(spark, sf_dir):
 def _nearest_sql(at_most: bool, strict: bool) -> str:
     op = ("<" if at_most else ">") + ("" if strict else "=")
     pick = "max" if at_most else "min"
-    return f"""WITH {T.KV}, k AS (SELECT key FROM kv WHERE CAST(substr(key, 2) AS INTEGER) % 10 = 5),
-      p AS (SELECT DISTINCT printf('o%09d', c_custkey * 11) AS probe FROM customer)
-      SELECT probe, {pick}(key) AS key FROM p LEFT JOIN k ON k.key {op} p.probe GROUP BY probe"""
+    return f"""WITH {T.KV}, p AS (SELECT DISTINCT printf('o%09d', c_custkey * 11 - 40) || suffix AS probe FROM customer, (VALUES (''), ('x')) AS s(suffix))
+      SELECT probe, {pick}(key) AS key FROM p LEFT JOIN kv ON kv.key {op} p.probe GROUP BY probe"""
 
 
 def _nearest(at_most: bool, strict: bool):
     def run(spark, sf_dir):
-        keys = T.kv_orders(spark, sf_dir).where(F.substring("key", 10, 1) == "5").select("key")
-        probes = T.table(spark, sf_dir, "customer").select(F.format_string("o%09d", F.col("c_custkey") * 11).alias("probe"))
-        return scan.nearest(keys, probes, at_most, strict, bucket=7)
+        # Probes stand on keys, between two of them, and beyond both ends.
+        at = F.format_string("o%09d", F.col("c_custkey") * 11 - 40)
+        probes = T.table(spark, sf_dir, "customer").select(F.explode(F.array(at, F.concat(at, F.lit("x")))).alias("probe"))
+        return scan.nearest(T.kv_orders(spark, sf_dir).select("key"), probes, at_most, strict, bucket=7)
 
     run.__name__ = f"kv_nearest_{'l' if at_most else 'g'}{'t' if strict else 'e'}"
     return query(_nearest_sql(at_most, strict))(run)
@@ -216,14 +216,14 @@ def kv_last_pointer(spark, sf_dir):
 
 
 _GC = f"""{T.OPLOG}, v AS (SELECT *, strlen(key) + coalesce(strlen(value), 0) + 36 AS len FROM oplog),
-  p AS (SELECT *, (ends - len) // 65536 AS fid FROM (SELECT *, sum(len) OVER (ORDER BY cas)::BIGINT AS ends FROM v)),
+  p AS (SELECT *, (ends - len) // 8192 AS fid FROM (SELECT *, sum(len) OVER (ORDER BY cas)::BIGINT AS ends FROM v)),
   cur AS (SELECT key, cas, meta FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY cas DESC) = 1),
   c AS (SELECT p.key, p.cas, p.fid::BIGINT AS fid, p.len, p.cas = cur.cas AND cur.meta & 1 = 0 AS keep FROM p JOIN cur ON p.key = cur.key),
   st AS (SELECT fid, count(*) AS entries, sum(len)::BIGINT AS total_bytes, sum(CASE WHEN keep THEN 0 ELSE len END)::BIGINT AS discard_bytes FROM c GROUP BY fid)"""
 
 
 def _gc(spark, sf_dir):
-    log = valuelog.offsets(T.plain_log(spark, sf_dir), file_size=65536)
+    log = valuelog.offsets(T.plain_log(spark, sf_dir), file_size=8192)
     return log, merge.latest_wins(log)
 
 
@@ -237,9 +237,60 @@ def kv_gc_candidates(spark, sf_dir):
     return valuelog.gc_candidates(valuelog.gc_stats(*_gc(spark, sf_dir)), 0.5, least=1000)
 
 
-@query(f"WITH {_GC} SELECT key, cas, cas AS cas_check FROM c WHERE keep AND fid = 1")
+@query(f"WITH {_GC} SELECT key, cas, cas AS cas_check FROM c WHERE keep AND fid = (SELECT max(fid) FROM c WHERE keep)")
 def kv_gc_rewrite(spark, sf_dir):
-    return valuelog.gc_rewrite(*_gc(spark, sf_dir), 1).select("key", "cas", "cas_check")
+    """The newest file that holds live entries."""
+    log, current = _gc(spark, sf_dir)
+    newest = valuelog.gc_stats(log, current).where("discard_bytes < total_bytes").agg(F.max("fid")).first()[0]
+    return valuelog.gc_rewrite(log, current, newest).select("key", "cas", "cas_check")
+
+
+@query(f"WITH {_GC} SELECT arg_min(fid, struct_pack(r := -discard_bytes / total_bytes, fid := fid)) AS fid FROM st WHERE fid < (SELECT max(fid) FROM st) AND total_bytes >= 1000 AND discard_bytes >= 0.5 * total_bytes")
+def kv_gc_pick(spark, sf_dir):
+    return spark.createDataFrame([(valuelog.gc_pick(valuelog.gc_stats(*_gc(spark, sf_dir)), 0.5, least=1000),)], "fid long")
+
+
+@query(f"""WITH {_GC}, live AS (SELECT p.key, p.value, p.user_meta FROM p JOIN cur ON p.key = cur.key AND p.cas = cur.cas WHERE p.meta & 1 = 0) SELECT key, md5(value) AS digest, user_meta FROM live""")
+def kv_gc_apply(spark, sf_dir):
+    """The live view after the newest file with live entries has been rewritten: entries change their counters, not their values."""
+    log, current = _gc(spark, sf_dir)
+    newest = valuelog.gc_stats(log, current).where("discard_bytes < total_bytes").agg(F.max("fid")).first()[0]
+    ops = valuelog.gc_rewrite(log, current, newest).withColumn("cas", F.col("cas") + F.lit(1 << 40))
+    after = apply.apply_ops(ops, current).unionByName(current.select("key", "cas", "meta", "user_meta", "value"))
+    return merge.live_view(after).select("key", F.md5(F.col("value").cast("binary")).alias("digest"), "user_meta")
+
+
+@query(f"WITH {_GC} SELECT DISTINCT fid FROM c WHERE fid NOT IN (SELECT fid FROM st WHERE discard_bytes > 0)")
+def kv_log_clean_files(spark, sf_dir):
+    log, current = _gc(spark, sf_dir)
+    return valuelog.clean_files(log, valuelog.gc_stats(log, current).where("discard_bytes > 0"))
+
+
+@query(f"WITH {_OFFSETS} SELECT key, fid::BIGINT AS fid, \"offset\"::BIGINT AS \"offset\" FROM vlog WHERE fid = 2 AND \"offset\" >= 100 ORDER BY \"offset\" LIMIT 5")
+def kv_vlog_read(spark, sf_dir):
+    return valuelog.read_entries(_vlog(spark, sf_dir), 2, 100, 5).select("key", "fid", "offset")
+
+
+@query(f"WITH {_OFFSETS}, f AS (SELECT * FROM vlog WHERE fid = 1) SELECT key, \"offset\"::BIGINT AS \"offset\" FROM f WHERE \"offset\" <= (SELECT min(\"offset\") FROM f WHERE len > 3000) OR NOT EXISTS (SELECT 1 FROM f WHERE len > 3000)")
+def kv_vlog_iterate(spark, sf_dir):
+    """A file read up to its first entry over 3,000 bytes."""
+    return valuelog.iterate(_vlog(spark, sf_dir), 1, until=F.col("len") > 3000).select("key", "offset")
+
+
+@query(f"WITH {_GC}, r AS (SELECT * FROM p WHERE fid > 0 OR ends - len - fid * 8192 > 5000) SELECT key, cas, meta, user_meta, md5(value) AS digest FROM r WHERE meta <> 8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY cas DESC) = 1")
+def kv_recover(spark, sf_dir):
+    """The state that replaying the log after a pointer gives."""
+    log = valuelog.offsets(T.plain_log(spark, sf_dir).where("meta <> 8"), file_size=1 << 62)
+    whole = valuelog.offsets(T.plain_log(spark, sf_dir), file_size=8192).select("cas", "fid", "offset")
+    rest = log.drop("fid", "offset").join(whole, "cas")
+    return valuelog.recover(rest, 0, 5000).select("key", "cas", "meta", "user_meta", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 1")
+def kv_vlog_ids(spark, sf_dir):
+    """Ids out of the names of log files, beside other files."""
+    names = T.table(spark, sf_dir, "orders").select(F.format_string("%06d.", "o_orderkey").alias("n"), (F.col("o_orderkey") % 3).alias("k"))
+    return manifest.file_ids(names.select(F.concat(F.lit("vlog/"), "n", F.when(F.col("k") == 1, F.lit("vlog")).otherwise(F.lit("run"))).alias("name")), "vlog")
 
 
 _STATE = f"{T.MANIFEST}, state AS (SELECT id, level FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY change_set DESC) = 1) WHERE op = 'CREATE')"
@@ -304,6 +355,155 @@ def kv_choose_inputs(spark, sf_dir):
     return compact.choose_inputs(T.run_tables(spark, sf_dir), 1)
 
 
+@query(f"""WITH {T.TABLES}, top AS (SELECT * FROM tables WHERE level = 0), span AS (SELECT min(smallest) AS lo, max(biggest) AS hi FROM top)
+  SELECT id, 'top' AS side FROM top UNION ALL SELECT t.id, 'bottom' FROM tables t, span WHERE t.level = 1 AND t.smallest <= hi AND lo <= t.biggest""")
+def kv_level0_inputs(spark, sf_dir):
+    return compact.choose_inputs(T.run_tables(spark, sf_dir), 0)
+
+
+_BUSY = "busy AS (SELECT n_nationkey AS range_id, printf('o%09d', n_nationkey * 40) AS lo, printf('o%09d', n_nationkey * 40 + 15) AS hi FROM nation)"
+
+
+def _busy(spark, sf_dir):
+    at = F.col("n_nationkey") * 40
+    return T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("range_id"), F.format_string("o%09d", at).alias("left"), F.format_string("o%09d", at + 15).alias("right"))
+
+
+@query(f"""WITH {T.TABLES}, {_BUSY}, top AS (SELECT * FROM tables t WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM busy b WHERE t.smallest <= b.hi AND b.lo <= t.biggest) ORDER BY size DESC, id LIMIT 1)
+  SELECT id, 'top' AS side FROM top UNION ALL SELECT t.id, 'bottom' FROM tables t, top WHERE t.level = 2 AND t.smallest <= top.biggest AND top.smallest <= t.biggest""")
+def kv_busy_inputs(spark, sf_dir):
+    return compact.choose_inputs(T.run_tables(spark, sf_dir), 1, _busy(spark, sf_dir))
+
+
+@query(f"""WITH {_LEVELS}, b AS (SELECT level, count(*) AS tables, sum(size)::BIGINT AS bytes FROM tables WHERE id % 4 = 0 GROUP BY level),
+  left_ AS (SELECT level, CASE WHEN level = 0 AND coalesce(b.tables, 0) > 0 THEN 0 ELSE ls.tables END AS tables, ls.bytes - coalesce(b.bytes, 0) AS bytes FROM ls LEFT JOIN b USING (level)),
+  s AS (SELECT level, CASE WHEN level = 0 THEN tables / 5.0 ELSE bytes / (100.0 * pow(10.0, level - 1)) END AS score FROM left_) SELECT level, score FROM s WHERE level < 6 AND score >= 1""")
+def kv_pick_levels_busy(spark, sf_dir):
+    """Every fourth table is being compacted."""
+    tables = T.run_tables(spark, sf_dir)
+    return compact.pick_levels(compact.level_stats(tables), level_one=100, busy=compact.level_stats(tables.where("id % 4 = 0")))
+
+
+_FREE = f"{T.TABLES}, free AS (SELECT id FROM tables t WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM tables u WHERE u.level = 2 AND u.smallest <= t.biggest AND t.smallest <= u.biggest))"
+
+
+@query(f"WITH {_FREE} SELECT id, 'DELETE' AS op, 1 AS level FROM free UNION ALL SELECT id, 'CREATE', 2 FROM free")
+def kv_trivial_move(spark, sf_dir):
+    return compact.trivial_moves(T.run_tables(spark, sf_dir), 1)
+
+
+@query(f"WITH {_FREE} SELECT id, CASE WHEN id IN (SELECT id FROM free) THEN 2 ELSE level END AS level FROM tables")
+def kv_replace_tables(spark, sf_dir):
+    tables = T.run_tables(spark, sf_dir)
+    return compact.replaced(tables, compact.trivial_moves(tables, 1))
+
+
+@query(f"""WITH {T.TABLES}, top AS (SELECT * FROM tables WHERE level = 1 ORDER BY size DESC, id LIMIT 1)
+  SELECT id, 'DELETE' AS op, 1 AS level FROM top UNION ALL SELECT t.id, 'DELETE', 2 FROM tables t, top WHERE t.level = 2 AND t.smallest <= top.biggest AND top.smallest <= t.biggest
+  UNION ALL SELECT 1000000 + n_nationkey, 'CREATE', 2 FROM nation""")
+def kv_change_set(spark, sf_dir):
+    made = T.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1000000).alias("id"))
+    return compact.change_set(compact.choose_inputs(T.run_tables(spark, sf_dir), 1), made, 1)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, 30 + o_orderkey % 50 AS size, sum(30 + o_orderkey % 50) OVER (ORDER BY o_orderkey) AS e FROM orders)
+  SELECT ((e - size) // 4000)::BIGINT AS part, count(*) AS rows, sum(size)::BIGINT AS bytes, min(k) AS first, max(k) AS last FROM r GROUP BY 1""")
+def kv_split_tables(spark, sf_dir):
+    """Rows cut into tables of about 4,000 bytes."""
+    return compact.split_by_size(T.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 30 + F.col("o_orderkey") % 50, 4000)
+
+
+@query(f"WITH {T.TABLES}, first AS (SELECT id FROM tables WHERE level = 0) SELECT level, count(*) AS tables, list_sort(list(id)) AS ids FROM tables GROUP BY level")
+def kv_table_ids(spark, sf_dir):
+    return compact.table_ids(T.run_tables(spark, sf_dir))
+
+
+@query(f"WITH {T.TABLES} SELECT id FROM tables WHERE level = 2 ORDER BY size DESC, id LIMIT 10")
+def kv_tables_by_size(spark, sf_dir):
+    return compact.in_order(T.run_tables(spark, sf_dir).where("level = 2"), "size").limit(10).select("id")
+
+
+@query(f"WITH {T.TABLES}, r AS (SELECT c_custkey AS range_id, printf('o%09d', c_custkey * 10) AS lo, CASE WHEN c_custkey % 2 = 0 THEN printf('o%09d', c_custkey * 10 + 9) END AS hi FROM customer) SELECT id FROM tables JOIN r ON id = range_id AND smallest = lo AND biggest IS NOT DISTINCT FROM hi")
+def kv_range_equality(spark, sf_dir):
+    at = F.col("c_custkey") * 10
+    other = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string("o%09d", at).alias("lo"), F.when(F.col("c_custkey") % 2 == 0, F.format_string("o%09d", at + 9)).alias("hi"))
+    return T.run_tables(spark, sf_dir).join(other, "id").where(expr.same_range(F.col("smallest"), F.col("biggest"), F.col("lo"), F.col("hi"))).select("id")
+
+
+@query(f"WITH {T.TABLES}, r AS (SELECT n_nationkey AS range_id, CASE WHEN n_nationkey > 0 THEN printf('o%09d', n_nationkey * 50) END AS lo, CASE WHEN n_nationkey > 0 THEN printf('o%09d', n_nationkey * 50 + 20) END AS hi FROM nation) SELECT range_id, id FROM r JOIN tables ON lo IS NULL OR (smallest <= hi AND lo <= biggest)")
+def kv_overlap_endless(spark, sf_dir):
+    """One of the ranges has no ends."""
+    at = F.col("n_nationkey") * 50
+    some = F.col("n_nationkey") > 0
+    ranges = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("range_id"), F.when(some, F.format_string("o%09d", at)).alias("left"), F.when(some, F.format_string("o%09d", at + 20)).alias("right"))
+    return compact.overlapping(T.run_tables(spark, sf_dir), ranges)
+
+
+@query(f"WITH {_STATE} SELECT 0::BIGINT AS change_set, row_number() OVER (ORDER BY level, id)::INTEGER AS seq, id, 'CREATE' AS op, level FROM state")
+def kv_manifest_snapshot(spark, sf_dir):
+    return manifest.as_changes(manifest.replay(T.manifest_log(spark, sf_dir)))
+
+
+@query(f"WITH {T.MANIFEST} SELECT id, 0::BIGINT AS change_set, op FROM log WHERE change_set = 0")
+def kv_manifest_valid_prefix(spark, sf_dir):
+    """The second change set's stored checksum is wrong."""
+    log = T.manifest_log(spark, sf_dir)
+    stored = manifest.checksums(log).select("change_set", (F.col("crc") + F.when(F.col("change_set") == 1, 1).otherwise(0)).alias("stored"))
+    checked = log.join(manifest.checksums(log).join(stored, "change_set"), "change_set").withColumn("crc_ok", F.col("crc") == F.col("stored"))
+    return manifest.valid_prefix(checked).select("id", "change_set", "op")
+
+
+@query("SELECT split_part(path, '.', 2) AS suffix, sum(length)::BIGINT AS bytes FROM (SELECT printf('%06d', o_orderkey) || CASE WHEN o_orderkey % 3 = 0 THEN '.run' ELSE '.vlog' END AS path, o_orderkey % 1000 AS length FROM orders) GROUP BY 1")
+def kv_folder_sizes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return stats.folder_sizes(T.table(spark, sf_dir, "orders").select(F.concat(F.format_string("%06d", k), F.when(k % 3 == 0, ".run").otherwise(".vlog")).alias("path"), (k % 1000).alias("length")))
+
+
+@query(f"""{_FOLD}, d AS (SELECT op, om, key, ov, s FROM (SELECT f.key, f.rn, f.op, f.status AS s, o.meta AS om, o.value AS ov FROM f JOIN o ON o.key = f.key AND o.rn = f.rn WHERE f.rn > 0)),
+  w AS (SELECT count(*) AS num_puts, count(*) FILTER (s = 'OK') AS num_writes, sum(CASE WHEN s = 'OK' THEN strlen(key) + CASE WHEN coalesce(strlen(ov), 0) < 20 THEN coalesce(strlen(ov), 0) ELSE 10 END ELSE 0 END) AS lsm,
+    sum(CASE WHEN s = 'OK' AND om & 1 = 0 AND coalesce(strlen(ov), 0) >= 20 THEN strlen(key) + strlen(ov) + 36 ELSE 0 END) AS vlog FROM d)
+  SELECT label, CASE label WHEN 'num_puts' THEN num_puts WHEN 'num_writes' THEN num_writes WHEN 'lsm_size' THEN lsm WHEN 'vlog_size' THEN vlog WHEN 'num_bytes_written' THEN lsm + vlog ELSE 0 END::BIGINT AS value
+  FROM w, (SELECT unnest(['lsm_size', 'vlog_size', 'pending_writes', 'num_reads', 'num_writes', 'num_bytes_read', 'num_bytes_written', 'num_lsm_gets', 'num_lsm_bloom_hits', 'num_gets', 'num_puts', 'num_blocked_puts', 'num_mem_tables_gets', 'block_hash_calc_cost']) AS label)""")
+def kv_metrics(spark, sf_dir):
+    ops = T.oplog(spark, sf_dir)
+    return stats.write_metrics(ops, apply.apply_status(ops))
+
+
+@query(f"WITH {T.OPLOG} SELECT cas // 100 AS request, count(*) AS entries, sum(strlen(key) + coalesce(strlen(value), 0) + 36)::BIGINT AS bytes FROM oplog GROUP BY 1")
+def kv_request_counts(spark, sf_dir):
+    return stats.request_counts(T.plain_log(spark, sf_dir).withColumn("request", F.floor(F.col("cas") / 100)))
+
+
+@query(f"""WITH {T.OPLOG}, marked AS (SELECT CASE WHEN cas % 5 = 0 THEN '~tidelog/' || key ELSE key END AS key, cas, meta FROM oplog),
+  latest AS (SELECT * FROM marked WHERE NOT starts_with(key, '~tidelog/') QUALIFY row_number() OVER (PARTITION BY key ORDER BY cas DESC) = 1) SELECT key, cas FROM latest WHERE meta & 1 = 0""")
+def kv_internal_keys(spark, sf_dir):
+    """A fifth of the versions stand under reserved keys, which readers don't see."""
+    key = F.when(F.col("cas") % 5 == 0, F.concat(F.lit("~tidelog/"), "key")).otherwise(F.col("key"))
+    return merge.live_view(T.plain_log(spark, sf_dir).withColumn("key", key)).select("key", "cas")
+
+
+_GUARD = T.OPLOG.replace("event_type = 'click' AND event_id % 2 = 0", "event_type IN ('click', 'error')")
+
+
+@query(_FOLD.replace(T.OPLOG, _GUARD) + " SELECT key, op AS cas, status FROM f WHERE rn > 0")
+def kv_guarded_deletes(spark, sf_dir):
+    """Deletes compare counters too."""
+    return apply.apply_status(T.oplog(spark, sf_dir, F.col("event_type").isin("click", "error")))
+
+
+@query(f"WITH {T.BLOBS}, b AS (SELECT CASE WHEN cas % 9 = 0 THEN repeat(key, 20) ELSE key END AS key, value FROM blobs) SELECT key, CASE WHEN strlen(key) > 100 THEN 'KEY_TOO_BIG' WHEN coalesce(strlen(value), 0) > 2000 THEN 'VALUE_TOO_BIG' ELSE 'OK' END AS status FROM b")
+def kv_validate_keys(spark, sf_dir):
+    rows = T.blobs(spark, sf_dir).withColumn("key", F.when(F.col("cas") % 9 == 0, F.repeat("key", 20)).otherwise(F.col("key")))
+    return rows.select("key", expr.validation(max_value=2000, max_key=100).alias("status"))
+
+
+@query("SELECT e AS id, CASE WHEN e % 3 = 0 THEN '<not UTF-8>' ELSE 'é' || e END AS text FROM (SELECT event_id AS e FROM events)")
+def kv_display(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    raw = F.when(F.col("id") % 3 == 0, F.lit(bytearray(b"\xff\xfe"))).otherwise(F.concat(F.lit("é"), F.col("id").cast("string")).cast("binary"))
+    return e.select("id", expr.display(raw).alias("text"))
+
+
 @query(f"WITH {T.OPLOG}, {LATEST} SELECT key, cas, meta, user_meta, value FROM latest")
 def kv_compact(spark, sf_dir):
     return compact.compact(T.plain_log(spark, sf_dir))
@@ -322,7 +522,8 @@ def kv_digest(spark, sf_dir):
     return T.kv_orders(spark, sf_dir).select("key", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""WITH {T.KV} SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(value, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM kv""")
 def kv_checksum(spark, sf_dir):
     return T.kv_orders(spark, sf_dir).select("key", F.crc32(F.col("value").cast("binary")).alias("crc"))
 

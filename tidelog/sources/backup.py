@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import schema as S
+
 
 def export(view: DataFrame) -> DataFrame:
     """What a backup holds: live rows in key order, without counters."""
     return view.select("key", "value", "user_meta").orderBy("key")
 
 
-def _varint(n: int) -> bytes:
+def varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -22,23 +24,29 @@ def _varint(n: int) -> bytes:
 
 
 def frame(key: bytes, value: bytes, user_meta: int) -> bytes:
-    """u64 little-endian length, then fields 1 key, 2 value and 3 user meta in protobuf wire form."""
-    body = b"".join(bytes([tag]) + _varint(len(part)) + part for tag, part in ((10, key), (18, value), (26, bytes([user_meta]))) if part)
+    """u64 little-endian length, then fields 1 key, 2 value and 3 user meta (a byte) in protobuf wire form."""
+    if not 0 <= user_meta <= S.MAX_USER_META:
+        raise S.InvalidRequest("a user meta is a byte")
+    body = b"".join(bytes([tag]) + varint(len(part)) + part for tag, part in ((10, key), (18, value), (26, bytes([user_meta]))) if part)
     return struct.pack("<Q", len(body)) + body
 
 
+def varint_at(data: bytes, at: int) -> tuple[int, int]:
+    """(number, place after it)."""
+    n = shift = 0
+    while True:
+        b, at = data[at], at + 1
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            return n, at
+
+
 def _fields(body: bytes) -> dict[int, bytes]:
     at, found = 0, {}
     while at < len(body):
-        tag, at = body[at], at + 1
-        n = shift = 0
-        while True:
-            b, at = body[at], at + 1
-            n |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                break
-        found[tag >> 3], at = body[at : at + n], at + n
+        n, start = varint_at(body, at + 1)
+        found[body[at] >> 3], at = body[start : start + n], start + n
     return found
 
 

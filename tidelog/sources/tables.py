@@ -1,6 +1,6 @@
 """Derived key-value inputs over the sample tables; the SQL twins stand beside each."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -8,11 +8,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations out of events: errors delete, sign-ups insert if absent, even-numbered clicks compare."""
+def oplog(spark: SparkSession, sf_dir: str, compares: Column | None = None) -> DataFrame:
+    """Operations out of events: errors delete, sign-ups insert if absent, even-numbered clicks compare (or the events said)."""
     e = table(spark, sf_dir, "events")
     before = F.lag(F.col("event_id") + 1).over(Window.partitionBy("user_id").orderBy("event_id"))
-    compares = (F.col("event_type") == "click") & (F.col("event_id") % 2 == 0)
+    compares = (F.col("event_type") == "click") & (F.col("event_id") % 2 == 0) if compares is None else compares
     return e.select(
         F.format_string("u%06d", "user_id").alias("key"),
         (F.col("event_id") + 1).alias("cas"),

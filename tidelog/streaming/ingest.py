@@ -12,10 +12,10 @@ from tidelog.operators.merge import latest_wins
 
 
 def into_store(ops: DataFrame, store, checkpoint: str, ordinal: str = "ordinal") -> StreamingQuery:
-    """Group commit: each micro-batch is one put_batch."""
+    """Group commit: each micro-batch is one put_batch, known by the checkpoint and its number, so a batch that is retried after its commit is not applied twice."""
 
-    def commit(batch: DataFrame, _: int) -> None:
-        store.put_batch(batch.withColumn("ordinal", F.col(ordinal)))
+    def commit(batch: DataFrame, number: int) -> None:
+        store.put_batch(batch.withColumn("ordinal", F.col(ordinal)), checkpoint, number)
 
     return ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,7 +44,7 @@ def apply_stream(ops: DataFrame) -> DataFrame:
             elif o.meta == S.SET_IF_ABSENT and not gone and not (meta == 0 and size == 0):
                 status = S.KEY_EXISTS
             else:
-                status, cas, meta, size = S.OK, int(o.cas), int(o.meta), len(o.value or "")
+                status, cas, meta, size = S.OK, int(o.cas), int(o.meta), len(o.value.encode() if isinstance(o.value, str) else o.value or b"")
             out.append((key[0], int(o.cas), status))
         state.update((cas, meta, size))
         yield pd.DataFrame(out, columns=["key", "cas", "status"])
