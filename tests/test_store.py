@@ -7,7 +7,7 @@ from tidelog import Store
 from tidelog import schema as S
 from tidelog.functions import expr
 from tidelog.functions.expr import successor
-from tidelog.operators import apply, compact, manifest, merge, prefix, valuelog
+from tidelog.operators import apply, compact, manifest, merge, prefix, scan, valuelog
 from tidelog.sources import backup, log_codec, manifest_codec
 
 OPS = "key string, cas bigint, meta int, user_meta int, cas_check bigint, value string"
@@ -212,5 +212,9 @@ def test_long_segment_and_odd_rows(spark):
     assert apply.apply_status(ops).where("status = 'OK'").count() == n
     rows = spark.createDataFrame([(None, 1), (5, 2), (7, 4)], "o long, v long")
     assert {(r.o, r.s) for r in prefix.running_sum(rows, F.col("v"), "o", "s").collect()} == {(None, 1), (5, 3), (7, 7)}
+    heads = spark.createDataFrame([(f"https://example.org/{i:05}",) for i in range(300)], "key string")
+    assert scan.bucket_of(heads)[0] == 22 and scan.bucket_of(heads.limit(0)) == (0, 1) and scan.bucket_of(heads.limit(1)) == (0, 1)
+    got = {r.key: (r.prev_key, r.next_key) for r in scan.neighbours(heads).collect()}
+    assert len(got) == 300 and got["https://example.org/00100"] == ("https://example.org/00099", "https://example.org/00101")
     keys = spark.createDataFrame([("x" * 100 + "a", "x" * 100 + "b"), ("", "a"), ("ab", "ab")], "a string, b string")
     assert [r.n for r in keys.select(expr.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [100, 0, 2]

@@ -44,9 +44,34 @@ def first_last(view: DataFrame) -> DataFrame:
     return view.agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-def neighbours(view: DataFrame, bucket: int = 6) -> DataFrame:
+#: Keys that one bucket of neighbours() and nearest() should hold, and how many buckets there may be (their ends go through one task).
+BUCKET_ROWS, BUCKETS, WIDEST = 1 << 18, 1 << 20, 8
+
+
+def bucket_of(keys: DataFrame, key: str = "key") -> tuple[int, int]:
+    """(characters that all keys share at their start, characters after those that name a bucket), from two aggregates over the keys: the fewest that leave buckets of BUCKET_ROWS keys on average."""
+    lo, hi, n = keys.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not n or lo == hi:
+        return 0, 1
+    head = next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))
+    parts = keys.agg(*(F.approx_count_distinct(F.substring(key, head + 1, w)) for w in range(1, WIDEST + 1))).first()
+    width = next((w for w, d in enumerate(parts, 1) if n <= BUCKET_ROWS * d), WIDEST)
+    while width > 1 and parts[width - 1] > BUCKETS:
+        width -= 1
+    return head, width
+
+
+def _bucket(column: str, view: DataFrame, bucket: int | None):
+    """The start of a key that names its bucket, in key order. bucket: its length; worked out from the keys if not said."""
+    if bucket is not None:
+        return F.substring(column, 1, bucket)
+    head, width = bucket_of(view)
+    return F.substring(column, 1, head + width)
+
+
+def neighbours(view: DataFrame, bucket: int | None = None) -> DataFrame:
     """(key, prev_key, next_key). Windows run inside buckets of one key prefix; the ends of neighbouring buckets are joined in, so no task sorts the whole key space."""
-    rows = view.select("key", F.substring("key", 1, bucket).alias("_b"))
+    rows = view.select("key", _bucket("key", view, bucket).alias("_b"))
     ends = rows.groupBy("_b").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
     w = Window.orderBy("_b")
     ends = ends.select("_b", F.lag("_hi").over(w).alias("_before"), F.lead("_lo").over(w).alias("_after"))
@@ -55,17 +80,16 @@ def neighbours(view: DataFrame, bucket: int = 6) -> DataFrame:
     return rows.join(ends, "_b").select("key", F.coalesce("_p", "_before").alias("prev_key"), F.coalesce("_n", "_after").alias("next_key"))
 
 
-def nearest(view: DataFrame, probes: DataFrame, at_most: bool = True, strict: bool = False, bucket: int = 6) -> DataFrame:
+def nearest(view: DataFrame, probes: DataFrame, at_most: bool = True, strict: bool = False, bucket: int | None = None) -> DataFrame:
     """(probe, key): for each probe the largest key <= it (at_most) or the smallest key >= it; strict leaves out equality; null if there is none.
 
     Keys and probes meet in buckets of one key prefix; what lies beyond a bucket comes from the ends of the next non-empty one.
     """
-    b = lambda c: F.substring(c, 1, bucket)
     # 0 sorts before 1: whether a probe stands before or after an equal key decides if it sees it.
     probe_first = strict if at_most else not strict
     p = probes.select(F.col("probe").alias("_k"), F.lit(0 if probe_first else 1).alias("_o"), F.lit(None).cast("string").alias("_key"), F.lit(True).alias("_is")).distinct()
     k = view.select(F.col("key").alias("_k"), F.lit(1 if probe_first else 0).alias("_o"), F.col("key").alias("_key"), F.lit(False).alias("_is"))
-    both = p.unionByName(k).withColumn("_b", b("_k"))
+    both = p.unionByName(k).withColumn("_b", _bucket("_k", view, bucket))
     order = [F.col("_k"), F.col("_o")] if at_most else [F.col("_k").desc(), F.col("_o").desc()]
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("_near", F.last("_key", ignorenulls=True).over(w)).where("_is")

@@ -126,7 +126,7 @@ def _nearest(at_most: bool, strict: bool):
         # Probes stand on keys, between two of them, and beyond both ends.
         at = F.format_string("o%09d", F.col("c_custkey") * 11 - 40)
         probes = T.table(spark, sf_dir, "customer").select(F.explode(F.array(at, F.concat(at, F.lit("x")))).alias("probe"))
-        return scan.nearest(T.kv_orders(spark, sf_dir).select("key"), probes, at_most, strict, bucket=7)
+        return scan.nearest(T.kv_orders(spark, sf_dir).select("key"), probes, at_most, strict)
 
     run.__name__ = f"kv_nearest_{'l' if at_most else 'g'}{'t' if strict else 'e'}"
     return query(_nearest_sql(at_most, strict))(run)
@@ -144,7 +144,7 @@ def kv_first_last(spark, sf_dir):
 
 @query(f"WITH {T.KV} SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM kv")
 def kv_prev_next(spark, sf_dir):
-    return scan.neighbours(T.kv_orders(spark, sf_dir), bucket=7)
+    return scan.neighbours(T.kv_orders(spark, sf_dir))
 
 
 @query(f"""{LIVE} SELECT key, CASE WHEN meta & 1 = 1 THEN 0 WHEN coalesce(strlen(value), 0) < 20 THEN strlen(key) + coalesce(strlen(value), 0)
