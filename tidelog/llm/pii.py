@@ -2,11 +2,11 @@
 
 Spans of the base rules always stay. Beside them, looser generators propose spans (addresses written out, telephone numbers
 without a plus, card numbers with other lengths or separators, IPv6): boosted trees score each by its format and its surroundings,
-and a threshold a kind, set on held-out rows for PRECISION, decides. Accepted spans that meet a base span or a better one of their
-kind give way.
+and a threshold a kind, set for PRECISION on lines written in another way, decides. Accepted spans that meet a base span or a
+better one give way.
 
-There are no labelled spans, so the trees are fitted on SAMPLE synthetic lines drawn by a fixed rule; the driver fits them in about
-a second, and only the trees (a few kilobytes) travel. Documents stream through in whole texts; nothing is shuffled.
+There are no labelled spans, so the trees are fitted on SAMPLE synthetic lines drawn by a fixed rule, and the thresholds on half as
+many; the driver does so in seconds, and only the trees (a few kilobytes) travel. Documents stream through in whole texts; nothing is shuffled.
 
 Defined cases: null texts are empty; offsets are code points, end exclusive; other columns are ignored by find(), kept by redact().
 """
@@ -14,8 +14,10 @@ Defined cases: null texts are empty; offsets are code points, end exclusive; oth
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,47 +84,59 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 _ANY_DIGIT = re.compile("[0-9]")
-_AT, _DOT = r"(?:\(at\)|\[at\]|\{at\}| at )", r"(?:\(dot\)|\[dot\]|\{dot\}| dot )"
-# The generators: what they propose is meant to be far more than what is kept.
+_AT, _DOT = r"(?:\(at\)|\[at\]|\{at\}|(?<= )at(?= ))", r"(?:\(dot\)|\[dot\]|\{dot\}|(?<= )dot(?= ))"
+# The generators: what they propose is meant to be far more than what is kept. Runs are taken whole (possessively), so a text is read once.
 GENERATORS = {
-    "email": re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:\.[A-Za-z0-9_%+-]{{1,64}}){{0,4}} ?{_AT} ?[A-Za-z0-9-]{{1,63}}(?: ?(?:{_DOT}|\.) ?[A-Za-z0-9-]{{2,24}}){{1,3}}", re.I),
-    "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])"),
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+ ?{_AT} ?[A-Za-z0-9-]++(?: ?(?:{_DOT}|\.) ?[A-Za-z0-9-]{{2,}}+)++", re.I),
+    "ip": re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)[0-9A-Fa-f:]++(?![0-9A-Za-z])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]?[0-9]{3,6}){2,4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\) ?|0{1,2}[1-9][0-9]{0,4}[ ./-]|[0-9]{3}[ .-])[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+.,/-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-]{1,2})[0-9]{2,8}(?:[ ./-][0-9]{2,8}){0,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.,/-])[0-9]{8,12}(?![0-9A-Za-z])"),
 }
 _SIGNS = {
     "email": re.compile(r"(?:\(|\[|\{|\b)at(?:\)|\]|\}|\b)", re.I),
-    "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+    "ip": re.compile(r"[0-9A-Fa-f:]:"),
 }
-# Words that speak for a kind, and against any.
+# Words that speak for a kind, against any, and endings of domains.
 _FOR = {
-    "email": "mail email e-mail contact write correo courriel kontakt".split(),
-    "ip": "ip host server address addr client from login connect".split(),
-    "card": "card visa mastercard amex credit debit karte carte tarjeta payment".split(),
-    "phone": "phone tel call mobile fax telefon telefono telephone teléfono téléphone ring whatsapp".split(),
+    "email": "mail email mails contact write correo courriel kontakt reach address".split(),
+    "ip": "ip ipv6 host server address addr client from login connect ping dns".split(),
+    "card": "card visa mastercard amex credit debit karte carte tarjeta payment paid".split(),
+    "phone": "phone tel call mobile fax telefon telefono telephone teléfono téléphone ring whatsapp handy".split(),
 }
-_AGAINST = "isbn order version date invoice serial page chapter id ref art no nr total sum price amount eur usd tracking".split()
+_AGAINST = "isbn order version date invoice serial page chapter id ref art no nr total sum price amount eur usd tracking mac time at born year part build".split()
+_ENDINGS = frozenset("com org net edu gov de fr es io eu info".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        return s.count(":") > 1 and ipaddress.IPv6Address(s) is not None
+    except ValueError:
+        return False
+
+
 def features(kind: str, text: str, span: Span) -> list[float]:
     """Format and context of a span as numbers."""
     s, e = span
     inside, before, after = text[s:e], text[max(0, s - CONTEXT) : s].lower(), text[e : e + CONTEXT].lower()
     d = _digits(inside)
-    words = set(_WORD.findall(before)[-4:]) | set(_WORD.findall(after)[:2])
+    ahead = _WORD.findall(before)[-4:]
+    words = set(ahead) | set(_WORD.findall(after)[:2])
     groups = re.findall("[0-9]+", inside)
+    parts = inside.split(":")
     return [
         KINDS.index(kind),
         len(inside), len(d), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         float(luhn(d)) if len(d) >= 13 else -1.0,
         float(d[:1] in "3456") if d else -1.0,
         float(d[:1] == "0"), float(inside[:1] == "("),
-        inside.count(" "), inside.count("-"), inside.count("."), inside.count("/"), inside.count(":"),
+        inside.count(" "), inside.count("-"), inside.count("."), inside.count("/"), inside.count(":"), inside.count(". "),
         float(any(c in inside for c in "([{")), sum(c.isalpha() for c in inside),
-        float(bool(re.search(r"(?:dot|[.\]\)\}]) ?(?:com|org|net|edu|de|fr|es|io)$", inside, re.I))),
-        float(any(w in words for w in _FOR[kind])), float(any(w in words for w in _AGAINST)),
+        float(re.split(r"[^a-z0-9-]+", inside.lower())[-1] in _ENDINGS),
+        float(any(w in words for w in _FOR[kind])), float(any(w in words for w in _AGAINST)), float(bool(ahead) and ahead[-1] in _FOR[kind]), float(bool(ahead) and ahead[-1] in _AGAINST),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] in ":="), float(before.rstrip()[-1:] in "$€#/."), float(len(set(d)) <= 2) if d else -1.0,
+        float(_is_ipv6(inside)) if kind == "ip" else -1.0, float(len(parts) == 6 and all(len(x) == 2 for x in parts)), max(map(len, parts)) if kind == "ip" else -1.0,
+        float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}.(?:0[1-9]|1[0-2]).[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}", inside))),
     ]
 
 
@@ -131,41 +145,64 @@ def _card_number(rng: random.Random, n: int) -> str:
     return next(body + c for c in "0123456789" if luhn(body + c))
 
 
-def synthetic(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, str, Span, int]]:
-    """(kind, line, span, 1 if personal): lines by a fixed rule, half of them near misses."""
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice(("er", "on", "an", "th", "in", "de", "la", "st", "or", "es")) for _ in range(rng.randint(1, 4)))
+# Two ways to write lines; the second sets thresholds, so these hold on forms and words that the trees have not seen.
+_STYLES = (
+    {"words": "er on an th in de la st or es un men tion".split(), "names": "john anna m.silva k_weber paul.d info sales".split(), "hosts": "example mailbox acme uni-bonn".split(), "seps": " -./", "cue": 0.75, "near": 0.25},
+    {"words": "the of and she house river when went with long stone blue und der que les pour".split(), "names": "maria.lopez j-smith office x99 dr.huber support".split(), "hosts": "post-haus firma my-site web4you".split(), "seps": " -.", "cue": 0.6, "near": 0.35},
+)
+
+
+def _email(rng: random.Random, style: dict, good: bool) -> str:
+    name, host, end = rng.choice(style["names"]), rng.choice(style["hosts"]), rng.choice(("com", "org", "net", "de", "fr", "es"))
+    if good:
+        o, c = rng.choice((("(", ")"), ("[", "]"), ("{", "}")))
+        return rng.choice((f"{name} {o}at{c} {host}.{end}", f"{name}{o}at{c}{host}{o}dot{c}{end}", f"{name} {o}at{c} {host} {o}dot{c} {end}", f"{name} at {host} dot {end}", f"{name} at mail.{host}.{end}"))
+    w = lambda: "".join(rng.choice(style["words"]) for _ in range(rng.randint(1, 2)))
+    return rng.choice((f"{w()} at {w()}. {w().title()}", f"{w()} at {w()}. {w().title()}. {w().title()}. {w().title()}", f"{w()} at {w()}.{w()}", f"{w()} at {w()} dot {w()}", f"look at {host}.{end}", f"sold at {rng.randint(2, 99)}.{rng.randint(10, 99)}"))
+
+
+def _ip(rng: random.Random, style: dict, good: bool) -> str:
+    h = lambda: f"{rng.randrange(65536):x}"
+    two = lambda: f"{rng.randrange(60):02}"
+    if good:
+        return rng.choice((":".join(h() for _ in range(8)), f"fe80::{h()}:{h()}", f"2001:db8::{rng.randint(1, 99)}", f"::{rng.randint(1, 9)}", f"{h()}:{h()}::{h()}", f"2a0{rng.randint(0, 9)}:{h()}:{h()}::{rng.randint(1, 9)}"))
+    x = lambda: f"{rng.randrange(256):02x}"
+    return rng.choice((f"{rng.randint(1, 23)}:{two()}:{two()}", f"{two()}:{two()}:{two()}:{two()}", ":".join(x() for _ in range(6)), "::", f"{rng.randint(1, 9)}:{rng.randint(1, 9)}:{rng.randint(1, 9)}", ":".join(h() for _ in range(7)), f"{x()}:{x()}:", f"{rng.randint(1, 150)}:{rng.randint(1, 30)}::"))
+
+
+def _card(rng: random.Random, style: dict, good: bool, num) -> str:
+    sep = rng.choice(style["seps"])
+    if good:
+        c = _card_number(rng, rng.choice((13, 14, 15, 15, 16, 16)))
+        return sep.join(c[j : j + 4] for j in range(0, len(c), 4)) if rng.random() < 0.6 else c
+    return rng.choice((num(13), num(14), num(16), f"{num(4)}{sep}{num(4)}{sep}{num(4)}", f"978{num(10)}", f"20{num(2)}-{num(4)}-{num(4)}", _card_number(rng, 14), f"20240{num(7)}"))
+
+
+def _phone(rng: random.Random, style: dict, good: bool, num) -> str:
+    sep = rng.choice(style["seps"])
+    if good:
+        return rng.choice((f"({num(3)}) {num(3)}{sep}{num(4)}", f"0{rng.randint(1, 9)}{num(1)} {num(6)}", f"0{rng.randint(1, 9)}{num(2)}{sep}{num(3)}{sep}{num(4)}", f"00{rng.randint(1, 9)}{num(1)}{sep}{num(3)}{sep}{num(3)}{sep}{num(3)}", f"{rng.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}", f"0{num(9)}", f"0{rng.randint(1, 9)}{sep}{num(2)}{sep}{num(2)}{sep}{num(2)}{sep}{num(2)}"))
+    day = f"{rng.randint(1, 28):02}"
+    return rng.choice((f"{num(3)} {num(3)}", f"{num(3)}.{num(3)}.{num(3)}", f"20{num(2)}-0{rng.randint(1, 9)}-{day}", f"{day}.0{rng.randint(1, 9)}.20{num(2)}", f"({num(4)}) {num(2)}-{num(2)}", f"0{num(1)}.0{num(1)}.{num(4)}", num(9), f"{num(3)}-{num(3)}-{num(4)}", f"19{num(2)}-19{num(2)}", num(10)))
+
+
+def synthetic(n: int = SAMPLE, seed: int = SEED, style: int = 0) -> list[tuple[str, str, Span, int]]:
+    """(kind, line, span, 1 if personal): lines by a fixed rule, half of them near misses. Both halves hold some without a word that tells, and some near misses have one that speaks for them."""
+    rng, how = random.Random(seed), _STYLES[style]
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice(how["words"]) for _ in range(rng.randint(1, 3)))
     filler = lambda k: " ".join(word() for _ in range(k))
+    make = {"email": lambda g: _email(rng, how, g), "ip": lambda g: _ip(rng, how, g), "card": lambda g: _card(rng, how, g, num), "phone": lambda g: _phone(rng, how, g, num)}
     out = []
     for i in range(n):
         kind, good = KINDS[i % 4], (i // 4) % 2
-        sep = rng.choice(" -./")
-        if kind == "email":
-            o, c = rng.choice((("(", ")"), ("[", "]"), ("{", "}")))
-            if good:
-                s = f"{word()}.{word()} {o}at{c} {word()}{rng.choice((f' {o}dot{c} ', '.'))}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}"
-            else:
-                s = f"{word()} at {word()}{rng.choice(('. ', '.'))}{word()}" if rng.random() < 0.8 else f"{word()} at {word()} dot {word()}"
-        elif kind == "ip":
-            s = ":".join(f"{rng.randrange(65536):x}" for _ in range(rng.choice((8, 8, 7)))) if good else rng.choice((f"{rng.randint(1, 23)}:{num(2)}:{num(2)}", f"{num(1)}:{num(2)}:{num(2)}:{num(2)}", "ab:cd:ef"))
-        elif kind == "card":
-            if good:
-                c = _card_number(rng, rng.choice((13, 14, 15, 16, 16)))
-                k = rng.choice((4, 4, 16))
-                s = sep.join(c[j : j + k] for j in range(0, len(c), k)) if k < 16 else c
-            else:
-                s = rng.choice((num(13), num(14), num(16), f"{num(4)}-{num(4)}-{num(4)}", f"978{num(10)}", f"20{num(2)}-{num(4)}-{num(4)}"))
-        elif good:
-            s = rng.choice((f"({num(3)}) {num(3)}{sep}{num(4)}", f"0{rng.randint(1, 9)}{num(2)}{sep}{num(3)}{sep}{num(4)}", f"00{rng.randint(1, 9)}{num(1)}{sep}{num(3)}{sep}{num(3)}{sep}{num(3)}", f"{rng.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}"))
-        else:
-            s = rng.choice((f"{num(3)} {num(3)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(3)} {num(2)} {num(2)}", f"({num(4)}) {num(2)}-{num(2)}", f"0{num(1)}.0{num(1)}.{num(4)}"))
-        cue = rng.choice(_FOR[kind]) if rng.random() < (0.85 if good else 0.08) else rng.choice(_AGAINST) if rng.random() < (0.02 if good else 0.5) else word()
-        head = f"{filler(rng.randint(0, 5))} {cue}{rng.choice((' ', ': ', ' '))}"
+        s = make[kind](good)
+        cue = rng.choice(_FOR[kind]) if rng.random() < (how["cue"] if good else 0.1) else rng.choice(_AGAINST) if rng.random() < (0.03 if good else 0.5) else word()
+        between = filler(1) + " " if rng.random() < how["near"] else ""
+        head = f"{filler(rng.randint(0, 5))} {cue}{rng.choice((' ', ': ', ' '))}{between}"
         line = f"{head}{s}{rng.choice(('.', ' ', ', ', ''))}{filler(rng.randint(0, 3))}" if good or rng.random() < 0.8 else f"{head}{rng.choice('$€#')}{s} {filler(2)}"
-        found = [m.span() for m in GENERATORS[kind].finditer(line)]
         at = line.index(s, len(head) - 1)
-        hit = [f for f in found if f[0] < at + len(s) and f[1] > at]
+        hit = [f for m in GENERATORS[kind].finditer(line) if (f := m.span())[0] < at + len(s) and f[1] > at]
         if hit:
             out.append((kind, line, hit[0], good))
     return out
@@ -173,14 +210,12 @@ def synthetic(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, str, Span, i
 
 @lru_cache(1)
 def trained() -> tuple[boosting.Model, dict[str, float]]:
-    """The model and each kind's threshold, set on rows that neither grew nor calibrated the trees."""
-    rows = synthetic()
-    x, y = np.array([features(k, t, s) for k, t, s, _ in rows]), np.array([r[3] for r in rows], float)
-    held = np.arange(len(rows)) % 3 == 2
-    model = boosting.fit(x[~held], y[~held])
-    p = model.probability(x[held])
-    kinds = x[held][:, 0]
-    return model, {k: max(0.5, boosting.threshold_for(p[kinds == i], y[held][kinds == i], PRECISION)) for i, k in enumerate(KINDS)}
+    """The model, grown and calibrated on lines of the first style, and each kind's threshold, set on lines of the second."""
+    table = lambda rows: (np.array([features(k, t, s) for k, t, s, _ in rows]), np.array([r[3] for r in rows], float))
+    model = boosting.fit(*table(synthetic()))
+    x, y = table(synthetic(SAMPLE // 2, SEED + 1, 1))
+    p, kinds = model.probability(x), x[:, 0]
+    return model, {k: max(0.5, boosting.threshold_for(p[kinds == i], y[kinds == i], PRECISION)) for i, k in enumerate(KINDS)}
 
 
 def proposals(text: str) -> list[tuple[str, Span]]:
@@ -192,23 +227,46 @@ def proposals(text: str) -> list[tuple[str, Span]]:
     return out
 
 
+class _Taken:
+    """Places of a text that spans cover."""
+
+    def __init__(self, spans: list[Span]):
+        self._starts, self._ends = [], []
+        for s, e in sorted(spans):
+            if self._ends and s <= self._ends[-1]:
+                self._ends[-1] = max(self._ends[-1], e)
+            else:
+                self._starts.append(s)
+                self._ends.append(e)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect_left(self._starts, span[1]) - 1
+        return at >= 0 and self._ends[at] > span[0]
+
+    def add(self, span: Span) -> None:
+        at = bisect_left(self._starts, span[0])
+        self._starts.insert(at, span[0])
+        self._ends.insert(at, span[1])
+
+
 def find_spans(texts: list[str], model: boosting.Model, thresholds: dict[str, float]) -> list[tuple[dict[str, list[Span]], dict[str, list[Span]]]]:
-    """(base, all) spans of each text."""
-    base, asked, rows = [], [], []
+    """(base, all) spans of each text. Of accepted spans that meet, the more probable one stays, of equal ones the earlier."""
+    base, taken, asked, rows = [], [], [], []
     for i, t in enumerate(texts):
         b = base_spans(t)
         base.append(b)
-        taken = sorted(s for spans in b.values() for s in spans)
+        taken.append(_Taken([s for spans in b.values() for s in spans]))
         for kind, span in proposals(t):
-            if not any(s < span[1] and e > span[0] for s, e in taken):
+            if not taken[i].meets(span):
                 asked.append((i, kind, span))
                 rows.append(features(kind, t, span))
     every = [{k: list(v) for k, v in b.items()} for b in base]
     if rows:
         p = model.probability(np.array(rows))
-        for j in np.argsort(-p, kind="stable"):
+        for j in np.argsort(-p, kind="stable").tolist():
             i, kind, span = asked[j]
-            if p[j] >= thresholds[kind] and not any(s < span[1] and e > span[0] for spans in every[i].values() for s, e in spans):
+            if p[j] >= thresholds[kind] and not taken[i].meets(span):
+                taken[i].add(span)
                 every[i][kind].append(span)
     return [(b, {k: sorted(v) for k, v in e.items()}) for b, e in zip(base, every, strict=True)]
 
