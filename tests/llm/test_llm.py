@@ -6,6 +6,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from tidelog.llm import boosting, common, decontaminate, html_extract, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, queries, substring_dedup, warc
@@ -47,6 +48,11 @@ def with_null(spark, docs):
     return docs.unionByName(spark.createDataFrame([(None, PASSAGE, 1, "k", 2, "l", "w"), (None, None, 1, None, None, None, None), (3, "one", 1, "k", 2, "l", "w")], SCHEMA))
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_twin(spark, sf, name):
+    compare(spark, sf, queries.QUERIES[name], queries.SQL[name])
+
+
 def test_op1(spark, docs, empty, sf, sample):
     for rows, got in ((odd_rows(), substring_dedup.dedup(docs, unit_bytes=1 << 14)), (sample, queries.QUERIES["op1_substring_dedup"](spark, sf))):
         assert [(r.n_words, r.n_removed, r.kept_sha256) for r in sorted(got.collect())] == brute.repeats(rows)

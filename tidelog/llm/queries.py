@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, html_extract, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, substring_dedup, warc
+from tidelog.llm import decontaminate, html_extract, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, substring_dedup, twins, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query()
+@query(twins.SUBSTRING_DEDUP)
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -42,13 +42,13 @@ def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(twins.QUALITY_RULES)
 def op3_quality_rules(spark, sf_dir):
     d = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
-@query()
+@query(twins.WARC)
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -68,12 +68,12 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(twins.NGRAM_JOIN)
 def op8_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(twins.HTML_EXTRACT)
 def op9_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
