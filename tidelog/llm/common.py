@@ -34,9 +34,11 @@ _MASK = (1 << 64) - 1
 
 # ---------------------------------------------------------------- folders
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset (local tests), a temporary one."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset and Spark is local, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"

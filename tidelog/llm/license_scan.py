@@ -2,7 +2,7 @@
 
 Each template keeps the postings (template, place) of its highest-IDF words. A text's rare words are looked up; each pair of places
 votes for the offset between text and template, and the template's score is the IDF weight of the words that agree on its best
-offset (within a slack of SLACK places) over the weight of all its rare words; texts without any word of SIGNS score 0. A template counts when its score reaches THRESHOLD
+offset (a bin of 2 SLACK places) over the weight of all its rare words; texts without any word of SIGNS score 0. A template counts when its score reaches THRESHOLD
 and all its mandatory phrases stand in the text. Base phrases are found apart from that, by exact places, and always stay.
 
 The templates are a fixed table, so their postings travel as literals in the plan. Nothing is shuffled.
@@ -28,20 +28,27 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted", "free of charge")),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ("in compliance with the license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("free software", "general public license")),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("free software", "gnu general public license")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("free software", "lesser general public license")),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("free software", "affero general public license")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistribution and use in source and binary forms",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license you may obtain a copy of the license at software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied", ("mozilla public license",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at", ("eclipse public license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software", ("accompanying documentation covered by this license",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit", ("creative commons attribution",)),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ("free and unencumbered software",)),
 )
 # Words of which each mandatory phrase and each base phrase but "cc by" holds one.
-SIGNS = ("license", "permission", "redistribution", "software", "distribute", "commons", " fee", "charge")
+SIGNS = ("license", "permission", "redistribution", "software", "distribute", "commons", " fee", "charge", "waived")
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def rare_postings(templates=TEMPLATES, rare: int = RARE) -> tuple[dict[str, list[tuple[int, int]]], list[float], dict[str, float]]:
-    """(word -> [(template, place)], weight of each template, IDF of each word): of each template the distinct words of highest IDF."""
+    """(word -> [(template, place)], weight of each template, IDF of each word): of each template the distinct words of highest IDF, at all their places."""
     words = [t.split() for _, t, _ in templates]
     df = Counter(w for ws in words for w in set(ws))
     idf = {w: math.log(1 + len(words) / n) for w, n in df.items()}
@@ -49,9 +56,10 @@ def rare_postings(templates=TEMPLATES, rare: int = RARE) -> tuple[dict[str, list
     weights = []
     for k, ws in enumerate(words):
         top = sorted(set(ws), key=lambda w: (-idf[w], -len(w), w))[:rare]
-        weights.append(sum(idf[w] for w in top))
-        for w in top:
-            postings.setdefault(w, []).append((k, ws.index(w)))
+        places = [(p, w) for p, w in enumerate(ws) if w in top]
+        weights.append(sum(idf[w] for _, w in places))
+        for p, w in places:
+            postings.setdefault(w, []).append((k, p))
     return postings, weights, idf
 
 
@@ -76,18 +84,22 @@ def _alignments(words: Column, postings: dict[str, list[tuple[int, int]]], idf:
 
 
 def _best(votes: Column, k: int, weight: float, slack: int) -> Column:
-    """Share of template k's weight at its best offset: over votes in order of offset, the sum of those within slack of a run's start, each place of the template once."""
+    """Share of template k's weight at its best offset. Offsets are counted in bins of twice the slack on two grids, half a bin apart, so all votes within slack of each other share a bin on one of them; a bin counts each place of the template once."""
     mine = F.filter(votes, lambda v: v["k"] == k)
-    start = F.struct(F.lit(None).cast("int").alias("o"), F.array().cast("array<int>").alias("seen"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-    def step(a: Column, v: Column) -> Column:
-        fresh = a["o"].isNull() | (v["o"] - a["o"] > slack)
-        again = ~fresh & F.array_contains(a["seen"], v["p"])
-        total = F.when(fresh, v["v"]).when(again, a["sum"]).otherwise(a["sum"] + v["v"])
-        seen = F.when(fresh, F.array(v["p"])).when(again, a["seen"]).otherwise(F.concat(a["seen"], F.array(v["p"])))
-        return F.struct(F.when(fresh, v["o"]).otherwise(a["o"]).alias("o"), seen.alias("seen"), total.alias("sum"), F.greatest(a["best"], total).alias("best"))
-
-    return F.coalesce(F.aggregate(mine, start, step, lambda a: a["best"]), F.lit(0.0)) / F.lit(weight)
+    best = []
+    for shift in (0, slack):
+        bin_of = lambda v: F.floor((v["o"] + F.lit(shift)) / (2 * slack)).cast("int")  # noqa: B023, E731
+        start = F.struct(F.lit(None).cast("int").alias("bin"), F.array().cast("array<int>").alias("seen"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+        def step(a: Column, v: Column) -> Column:
+            fresh = ~a["bin"].eqNullSafe(bin_of(v))  # noqa: B023
+            again = ~fresh & F.array_contains(a["seen"], v["p"])
+            total = F.when(fresh, v["v"]).when(again, a["sum"]).otherwise(a["sum"] + v["v"])
+            seen = F.when(fresh, F.array(v["p"])).when(again, a["seen"]).otherwise(F.concat(a["seen"], F.array(v["p"])))
+            return F.struct(bin_of(v).alias("bin"), seen.alias("seen"), total.alias("sum"), F.greatest(a["best"], total).alias("best"))  # noqa: B023
+
+        best.append(F.coalesce(F.aggregate(mine, start, step, lambda a: a["best"]), F.lit(0.0)))
+    return F.greatest(*best) / F.lit(weight)
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, slack: int = SLACK) -> DataFrame:

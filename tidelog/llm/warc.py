@@ -18,6 +18,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,10 +36,10 @@ _DATE = "1970-01-01T00:00:00Z"
 
 
 class Folder:
-    """Reads and writes whole files of a shared folder, by path or by URI."""
+    """Reads and writes whole files of a shared folder, by path or by URI. Hadoop's names of stores become those of Arrow's file systems: s3a and s3n are s3, dbfs:/ is its mount at /dbfs."""
 
     def __init__(self, root: str):
-        root = root[7:] if root.startswith("file://") else root[5:] if root.startswith("file:") else root
+        root = re.sub(r"^dbfs:/+", "/dbfs/", re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:(?://)?", "", root)))
         if "://" in root:
             from pyarrow import fs
 
