@@ -6,7 +6,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
-from math import log10
+from math import log, log10
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,6 +67,28 @@ def licences(t):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def notices(t, templates, rare, slack, threshold):
+    """(labels by notice, best score) of a text: votes of each template's rarest words for its offset, counted in bins."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    spelled, every = f" {' '.join(w)} ", [x.split() for _, x, _ in templates]
+    df = Counter(v for x in every for v in set(x))
+    labels, best = set(), 0.0
+    for (label, _, must), x in zip(templates, every, strict=True):
+        weight = {v: log(1 + len(every) / df[v]) for v in x}
+        top = sorted(weight, key=lambda v: (-weight[v], -len(v), v))[:rare]
+        bins = defaultdict(set)
+        for i, v in enumerate(w):
+            for p in range(len(x)):
+                if x[p] == v and v in top:
+                    for shift in (0, slack):
+                        bins[shift, (i - p + shift) // (2 * slack)].add(p)
+        score = max((sum(weight[x[p]] for p in ps) for ps in bins.values()), default=0) / sum(weight[v] for v in x if v in top)
+        best = max(best, min(1, score))
+        if score >= threshold and all(f" {p} " in spelled for p in must):
+            labels.add(label)
+    return labels, best
+
+
 def unigrams(docs):
     """(held_out, n_tokens, n_known, train_tokens, base_score) by row."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in docs]

@@ -138,8 +138,16 @@ def test_op4(spark, empty, tmp_path):
 
 def test_op5(docs, empty, spark, sample):
     for rows, df in ((odd_rows(), docs), (sample, spark.createDataFrame(sample, "doc_id long, text string"))):
-        got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(df).collect()}
+        whole = {r.doc_id: r for r in license_scan.scan(df).collect()}
+        got = {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in whole.items()}
         assert got == {i: brute.licences(t or "") for i, t in rows}
+        for i, t in rows:
+            labels, score = brute.notices(t or "", license_scan.TEMPLATES, license_scan.RARE, license_scan.SLACK, license_scan.THRESHOLD)
+            signed = any(w in (t or "").lower() for w in license_scan.SIGNS)
+            if signed:
+                assert whole[i].labels == ",".join(sorted(labels | set(filter(None, whole[i].base_labels.split(","))))) and abs(whole[i].score - score) < 1e-9
+            else:  # such texts hold no mandatory phrase
+                assert whole[i].labels == whole[i].base_labels and not labels
     assert license_scan.scan(empty).count() == 0
     texts = [(k, f"some words before {t.title()} and after") for k, (_, t, _) in enumerate(license_scan.TEMPLATES)]
     found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}

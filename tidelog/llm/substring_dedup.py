@@ -32,16 +32,27 @@ from tidelog.llm import common as C
 WINDOW = 20
 
 
+def _sequences(unit: C.Unit, words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, at, first): fingerprints of documents of at least a window's words, their places, and the place of the first document of the unit with the same words."""
+    at = np.flatnonzero(np.diff(bounds) >= window)
+    a, b = (C.doc_hashes(words, bounds, s)[at] for s in (1, 2))
+    order = np.lexsort((at, b, a))
+    new = np.ones(len(at), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    first = np.empty(len(at), np.int64)
+    first[order] = at[order][new][np.cumsum(new) - 1] if len(at) else at
+    return a, b, at, first
+
+
 def _copies(units: DataFrame, window: int) -> DataFrame:
-    """(unit, copies): per unit the places of documents that are word by word an earlier one."""
+    """(unit, copies): per unit the places of documents that are word by word one of an earlier unit. A unit sends each sequence once, so one that stands in a third of all documents is a row a unit; copies within a unit it finds itself."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, _ in C.units_in(batches):
             w, _, _, bounds = u.words(False)
-            n = np.diff(bounds)
-            at = np.flatnonzero(n >= window)
-            a, b = (C.doc_hashes(w, bounds, s)[at].view(np.int64) for s in (1, 2))
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "doc_id": u.ids[at], "unit": np.full(len(at), u.id, np.int64), "at": at.astype(np.int32)})
+            a, b, at, first = _sequences(u, w, bounds, window)
+            own = at == first
+            yield pa.RecordBatch.from_pydict({"a": a[own].view(np.int64), "b": b[own].view(np.int64), "doc_id": u.ids[at[own]], "unit": np.full(own.sum(), u.id, np.int64), "at": at[own].astype(np.int32)})
 
     d = C.mapped(units, digests, "a long, b long, doc_id long, unit long, at int")
     first = d.groupBy("a", "b").agg(F.min(F.struct("doc_id", "unit", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -57,6 +68,11 @@ class _Windows:
         self.hash, self.starts, self.ends, self.bounds = unit.words(False)
         self.doc = np.repeat(np.arange(len(unit.ids)), np.diff(self.bounds))
 
+    def copies(self, told: list | None) -> np.ndarray:
+        """Places of documents that are word by word an earlier one, of this unit or (those told) of another."""
+        _, _, at, first = _sequences(self.unit, self.hash, self.bounds, self.window)
+        return at[(at != first) | np.isin(first, told or [])]
+
     def inside(self, n: int) -> np.ndarray:
         """Places at which n words of one document start."""
         m = len(self.hash) - n + 1
@@ -69,7 +85,7 @@ class _Windows:
         fixed = (at - self.bounds[self.doc[at]]) % self.block == 0
         return h, at[fixed], h[fixed]
 
-    def candidates(self, lg: int, replies: list | None, copies: list | None) -> np.ndarray:
+    def candidates(self, lg: int, replies: list | None, copies: np.ndarray) -> np.ndarray:
         """Places of windows that hold an anchor, outside of copied documents."""
         at, h = self.blocks()[1:]
         distinct, back = np.unique(h, return_inverse=True)
@@ -82,9 +98,7 @@ class _Windows:
         np.add.at(line, np.maximum(hi, lo), -1)
         ok = np.cumsum(line)[:m] > 0
         ok &= self.doc[:m] == self.doc[self.window - 1 :] if m else ok
-        if copies:
-            ok &= ~np.isin(self.doc[:m], copies)
-        return np.flatnonzero(ok)
+        return np.flatnonzero(ok & ~np.isin(self.doc[:m], copies))
 
     def sequences(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys, rest, first, group): distinct sequences of the windows in order of their key, the first window of each, and each window's number among them."""
@@ -144,7 +158,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES,
     def send_sequences(batches):
         for u, r in C.units_in(batches):
             w = _Windows(u, window)
-            a, b, first, _ = w.sequences(w.candidates(lg, r["anchors"], r["copies"]))
+            a, b, first, _ = w.sequences(w.candidates(lg, r["anchors"], w.copies(r["copies"])))
             at = C.cut(a, lg2)
             both = np.empty(len(a), _SEQ)
             both["a"], both["b"] = a, b
@@ -162,15 +176,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, unit_bytes: int = C.UNIT_BYTES,
             w = _Windows(u, window)
             n_words = np.diff(w.bounds)
             gone = np.zeros(len(w.hash) + 1, np.int64)
-            at = w.candidates(lg, r["anchors"], r["copies"])
+            copies = w.copies(r["copies"])
+            at = w.candidates(lg, r["anchors"], copies)
             if len(at):
                 a, _, first, group = w.sequences(at)
                 repeat = at[(first[group] != at) | C.answered(a, lg2, r["owners"])[group]]
                 np.add.at(gone, repeat, 1)
                 np.add.at(gone, repeat + window, -1)
             out = np.cumsum(gone)[:-1] > 0
-            if r["copies"]:
-                out |= np.isin(w.doc, r["copies"])
+            out |= np.isin(w.doc, copies)
             removed = np.bincount(w.doc[out], minlength=len(n_words))
             raw, texts = u.data.tobytes(), []
             for i in range(len(n_words)):
