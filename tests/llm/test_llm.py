@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
@@ -242,6 +243,21 @@ def test_op8(spark, docs, empty, tokens):
     assert got == brute.linked(odd_rows(), 3, 90, 100)
 
 
+def test_op8_blocks(spark):
+    """Blocks meet where a link is possible, others do not, and a packed block is the same when opened."""
+    rows = [(1, 10, 7, 2, 1, [5, 6]), (2, 10, 7, 2, 2, [6]), (3, 30, 7, 2, 3, [6]), (4, 10, 7, 2, 4, [9]), (5, 10, 8, 1, 0, [6])]
+    family = spark.createDataFrame(rows, "rid long, n long, label long, blocks int, block long, prefix array<long>")
+    got = {(r.label, r.block): sorted(r["with"]) for r in ngram_join._meetings(family, (90, 100)).collect()}
+    assert got == {(7, 1): [1, 2], (7, 2): [1, 2], (7, 3): [3], (7, 4): [4]}
+    placed = ngram_join._blocks(family.drop("block")).collect()
+    assert len(placed) == len(rows) and {r.block for r in placed if r.label == 8} == {0}
+    sets, heads = [np.arange(40, dtype=np.uint64), np.array([3], np.uint64)], [np.array([1, 2], np.uint64), np.array([3], np.uint64)]
+    table = pa.table({"label": [7, 7], "block": [1, 1], "with": [[1, 2], [1, 2]], "rid": [4, 5], "copies": [1, 9], "tokens": [x.tobytes() for x in sets], "prefix": [x.tobytes() for x in heads]})
+    rid, copies, tokens, prefix = ngram_join._opened_block(ngram_join._packed_block(table).to_pylist()[0])
+    assert rid.tolist() == [4, 5] and copies.tolist() == [1, 9]
+    assert [x.tolist() for x in tokens] == [x.tolist() for x in sets] and [x.tolist() for x in prefix] == [x.tolist() for x in heads]
+
+
 def test_op8_tables(spark, docs, empty, sf, sample):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in queries.QUERIES["op8_ngram_join"](spark, sf).collect()}
     assert got == brute.linked(sample, 3, 90, 100)

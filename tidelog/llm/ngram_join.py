@@ -9,8 +9,10 @@ shingles, hashed into a table of SKETCH counters; any counts make a valid order)
    no other tokens in its prefix under order A, and is done.
 3. Representatives that share prefix tokens, directly or through others, form a family (connected components, by SQL).
 4. In each family, candidates share prefix tokens under A and B and C and fit in length; what remains is verified exactly on 64-bit
-   shingles, one representative against all its candidates at a time. A family over FAMILY_TOKENS tokens is cut into blocks of
-   representatives, and each pair of blocks is a task, so no task holds more than two blocks.
+   shingles, one representative against all its candidates at a time. A family over SPLIT_TOKENS tokens is cut into blocks of
+   representatives that look alike, each one compressed row, and each pair of blocks is a task, so no task holds more than two
+   blocks. Two blocks without a common prefix token of representatives that fit in length are no pair, so sets that hang together
+   by chains only don't meet.
 5. Links give each document its component and its number of linked documents; copies count through their class.
 
 No pair of documents ever is a row. Defined cases: null and empty texts have no shingles and link with nothing; texts with fewer
@@ -31,8 +33,11 @@ from tidelog.llm import common as C
 
 WORDS, SHARE = 3, (90, 100)
 SKETCH, CHUNK = 1 << 20, 1 << 16
-#: Shingles of the representatives that one block of a family may hold.
+#: Shingles that one block of a family holds at most, on average.
 FAMILY_TOKENS = 1 << 21
+#: Families with more shingles are cut into blocks whose number grows with the square root of the shingles over SPREAD, so tasks
+#: grow with the family and what is sent, compressed, with its power of 1.5 (with its square beyond blocks of FAMILY_TOKENS).
+SPLIT_TOKENS, SPREAD = 1 << 17, 1 << 12
 _B, _C, _SHORT = C.U64(0xB5297A4D3F84D5B5), C.U64(0xC2B2AE3D27D4EB4F), 0x5851F42D
 
 
@@ -88,6 +93,27 @@ def prefix_length(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return n - (num * n + den - 1) // den + 1
 
 
+def _blocks(family: DataFrame) -> DataFrame:
+    """Adds block, unique in a family: representatives go by their smallest prefix token, so those that look alike stand together, and what is still too large by their number."""
+    least = F.array_min(F.transform("prefix", lambda t: F.xxhash64(t)))
+    family = family.withColumn("_bucket", F.when(F.col("blocks") > 1, F.pmod(least, F.col("blocks"))).otherwise(0).cast("long"))
+    weight = family.where("blocks > 1").groupBy("label", "_bucket", "blocks").agg(F.sum("n").alias("_n"))
+    mean = weight.groupBy("label").agg(F.sum("_n").alias("_all"))
+    parts = weight.join(mean, "label").select("label", "_bucket", F.ceil(F.col("_n") * F.col("blocks") / F.col("_all")).alias("_parts"))
+    sub = F.pmod(F.xxhash64("rid"), F.coalesce("_parts", F.lit(1)))
+    return family.join(parts, ["label", "_bucket"], "left").select("rid", "n", "prefix", "label", "blocks", (F.shiftleft("_bucket", 32) + sub).alias("block"))
+
+
+def _meetings(family: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(label, block, with): for each block of the families that are cut the blocks it must be compared with, itself among them: those with a common prefix token where the set sizes allow a link."""
+    num, den = share
+    touch = family.where("blocks > 1").select("label", "block", "n", F.explode("prefix").alias("token"))
+    touch = touch.groupBy("label", "token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = touch.select("label", "token", F.col("block").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = touch.join(other, ["label", "token"]).where((F.col("hi") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo") * num))
+    return meet.groupBy("label", "block").agg(F.collect_set("with").alias("with"))
+
+
 DESCRIBED = "doc_id long, rid long, a long, b long, n long, chunk int, body binary"
 
 
@@ -216,6 +242,49 @@ def links(sets: list[np.ndarray], prefix_a: list[np.ndarray], share: tuple[int,
         yield i, other[den * inter >= num * (size[i] + size[other] - inter)]
 
 
+LINKED = "rid long, linked long, root long"
+PACKED = "label long, block long, with array<long>, rids binary, copies binary, sizes binary, tokens binary, heads binary, prefix binary"
+
+
+def _result(fields: dict) -> pa.Table:
+    """A table of LINKED and PACKED; columns not given are null."""
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    rows = len(next(iter(fields.values())))
+    return pa.table({c: pa.array(fields[c], kinds[t]) if c in fields else pa.nulls(rows, kinds[t]) for c, t in (x.split() for x in f"{LINKED}, {PACKED}".split(", "))})
+
+
+def _linked(rid: np.ndarray, copies: np.ndarray, sets: list, prefix: list, share: tuple[int, int], side: np.ndarray | None) -> pa.Table:
+    """The representatives with a link, the number of documents linked with them here, and one representative for all that links join."""
+    linked, union = np.zeros(len(rid), np.int64), _Union(len(rid))
+    for i, js in links(sets, prefix, share, side):
+        linked[i] += copies[js].sum()
+        linked[js] += copies[i]
+        for j in js.tolist():
+            union.join(i, j)
+    some = np.flatnonzero(linked)
+    return _result({"rid": rid[some], "linked": linked[some], "root": rid[np.array([union.root(i) for i in some.tolist()], np.int64)]})
+
+
+def _packed_block(table: pa.Table) -> pa.Table:
+    """A block as one row. Near copies have most sorted hashes in common, so they compress well behind one another."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(3).compress
+    lens = lambda c: np.array([len(x) // 8 for x in table[c].to_pylist()], np.int64).tobytes()
+    body = lambda c: squeeze(b"".join(table[c].to_pylist()))
+    fields = {c: table[c].to_pylist()[:1] for c in ("label", "block", "with")}
+    fields |= {"rids": [table["rid"].to_numpy().tobytes()], "copies": [table["copies"].to_numpy().tobytes()]}
+    return _result(fields | {"sizes": [lens("tokens")], "tokens": [body("tokens")], "heads": [lens("prefix")], "prefix": [body("prefix")]})
+
+
+def _opened_block(row: dict) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """(rid, copies, sets, prefixes) of a packed block."""
+    import zstandard
+
+    cut = lambda c, n: np.split(np.frombuffer(zstandard.decompress(row[c]), C.U64), np.cumsum(np.frombuffer(row[n], np.int64))[:-1])
+    return np.frombuffer(row["rids"], np.int64), np.frombuffer(row["copies"], np.int64), cut("tokens", "sizes"), cut("prefix", "heads")
+
+
 def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, unit_bytes: int = C.UNIT_BYTES, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_id): per document its set size, the smallest doc_id that links reach, the number of documents linked with it, and the smallest doc_id with an equal set. docs: doc_id, text."""
     spark = docs.sparkSession
@@ -260,10 +329,18 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     edges = C.written(edges.join(hubs, "node").select("rid", F.col("hub").alias("node")).distinct(), f"{home}/edges")
     labels = components(edges, f"{home}/families")
     sizes = found.join(labels, "rid").groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    sizes = C.written(sizes.where("members > 1").select("label", "members", F.ceil(F.col("total") / family_tokens).cast("int").alias("blocks")), f"{home}/sizes")
+    pieces = F.greatest(F.ceil(F.col("total") / family_tokens), F.ceil(F.sqrt(F.col("total") / SPREAD)))
+    pieces = F.when(F.col("total") > min(family_tokens, SPLIT_TOKENS), pieces).otherwise(1).cast("int")
+    sizes = C.written(sizes.where("members > 1").select("label", pieces.alias("blocks")), f"{home}/sizes")
     split = sizes.where("blocks > 1").limit(1).count() > 0
-    family = found.select("rid", "prefix").join(labels.join(sizes, "label"), "rid").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
-    family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "blocks", "copies", "prefix").alias("m"))
+    family = found.join(labels.join(sizes, "label"), "rid")
+    if split:
+        family = C.written(_blocks(family), f"{home}/blocks")
+        family = family.join(_meetings(family, share), ["label", "block"], "left")
+    else:
+        family = family.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("array<long>").alias("with"))
+    family = family.select("rid", "label", "block", "with", "prefix").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
+    family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "block", "with", "copies", "prefix").alias("m"))
     family = family.groupBy("unit").agg(F.collect_list("m").alias("members"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,38 +349,36 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
             s = _Sets(u, words, np.array([m["at"] for m in members]))
             for k in range(0, len(members), 512):
                 some = members[k : k + 512]
-                cols = {c: pa.array([m[c] for m in some], pa.int64()) for c in ("label", "blocks", "copies")}
+                cols = {c: pa.array([m[c] for m in some], pa.int64()) for c in ("label", "block", "copies")}
+                cols["with"] = pa.array([m["with"] for m in some], pa.list_(pa.int64()))
                 cols |= {"rid": pa.array(s.rid[k : k + 512]), "tokens": pa.array([s.token[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in range(k, k + len(some))], pa.binary())}
                 cols |= {"prefix": pa.array([np.array(m["prefix"], np.int64).tobytes() for m in some], pa.binary())}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    # Shingles are shipped once, straight to the task that verifies the family.
-    member = C.mapped(units.join(family, "unit"), fetch, "label long, blocks long, copies long, rid long, tokens binary, prefix binary")
-    member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    if split:  # each block meets each other block, and itself
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with")
-        member = member.select("*", other).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")}).drop("with")
-    else:
-        member = member.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    # Shingles are shipped once, straight to the task that verifies the family or packs the block.
+    member = C.mapped(units.join(family, "unit"), fetch, "label long, block long, copies long, with array<long>, rid long, tokens binary, prefix binary")
 
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
-        rid, copies = table["rid"].to_numpy(), table["copies"].to_numpy()
+    def first(table: pa.Table) -> pa.Table:
+        if table["with"][0].as_py() is not None:
+            return _packed_block(table)
         sets = [np.frombuffer(x, C.U64) for x in table["tokens"].to_pylist()]
         prefix = [np.frombuffer(x, C.U64) for x in table["prefix"].to_pylist()]
-        linked, union = np.zeros(len(rid), np.int64), _Union(len(rid))
-        for i, js in links(sets, prefix, share, table["block"].to_numpy()):
-            linked[i] += copies[js].sum()
-            linked[js] += copies[i]
-            for j in js.tolist():
-                union.join(i, j)
-        roots = rid[[union.root(i) for i in range(len(rid))]]
-        return pa.table({"rid": pa.array(rid), "linked": pa.array(linked), "root": pa.array(roots)})
-
-    keys = ["label", "x", "y"]
-    done = member.select(*keys, "rid", "copies", "block", "tokens", "prefix").groupBy(*keys).applyInArrow(verify, "rid long, linked long, root long")
-    done = C.written(done, f"{home}/links")
-    for name in ("units", "found", "edges"):
+        return _linked(table["rid"].to_numpy(), table["copies"].to_numpy(), sets, prefix, share, None)
+
+    def second(table: pa.Table) -> pa.Table:
+        parts = [_opened_block(r) for r in table.sort_by("block").to_pylist()]
+        rid, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        sets, prefix = ([x for p in parts for x in p[k]] for k in (2, 3))
+        return _linked(rid, copies, sets, prefix, share, np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+
+    done = member.groupBy("label", "block").applyInArrow(first, f"{LINKED}, {PACKED}")
+    if split:  # a block meets itself and others
+        packed = C.written(done, f"{home}/packed")
+        pairs = packed.where("block IS NOT NULL").withColumn("with", F.explode("with")).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
+        met = pairs.groupBy("label", "x", "y").applyInArrow(second, f"{LINKED}, {PACKED}")
+        done = packed.where("block IS NULL").unionByName(met)
+    done = C.written(done.select("rid", "linked", "root"), f"{home}/links")
+    for name in ("units", "found", "edges", *(("blocks", "packed") if split else ())):
         C.dropped(spark, f"{home}/{name}")
     linked = done.groupBy("rid").agg(F.sum("linked").alias("linked"), F.min("root").alias("root"))
     if split:
