@@ -312,38 +312,40 @@ KEYS_SCHEMA = "part int, unit long, probes binary, twice binary, anchors binary"
 REPLY_SCHEMA = "unit long, part int, bits binary"
 
 
-def key_rows(unit: int, probes: np.ndarray, anchors: np.ndarray, lg: int) -> pa.RecordBatch | None:
-    """One row for each part that gets keys of the unit. probes: all keys; anchors: sorted distinct keys that want an answer."""
+def key_rows(unit: int, probes: np.ndarray, anchors: np.ndarray | None, lg: int) -> pa.RecordBatch | None:
+    """One row for each part that gets keys of the unit. probes: all keys; anchors: sorted distinct keys that want an answer; None: all do, and are sent once."""
     probes = np.sort(probes)
     new = np.ones(len(probes), bool)
     new[1:] = probes[1:] != probes[:-1]
     twice = probes[1:][~new[1:]]
     twice = twice[np.concatenate(([True], twice[1:] != twice[:-1]))] if len(twice) else twice
     probes = probes[new]
-    p, t, a = cut(probes, lg), cut(twice, lg), cut(anchors, lg)
-    ps, ts, as_ = short(probes, lg), short(twice, lg), short(anchors, lg)
+    own = probes[:0] if anchors is None else anchors
+    p, t, a = cut(probes, lg), cut(twice, lg), cut(own, lg)
+    ps, ts, as_ = short(probes, lg), short(twice, lg), short(own, lg)
     full = np.flatnonzero(np.diff(p) + np.diff(a))
     if not len(full):
         return None
     take = lambda x, at: pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())
-    return pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "unit": pa.array(np.full(len(full), unit, np.int64)), "probes": take(ps, p), "twice": take(ts, t), "anchors": take(as_, a)})
+    return pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "unit": pa.array(np.full(len(full), unit, np.int64)), "probes": take(ps, p), "twice": take(ts, t), "anchors": pa.nulls(len(full), pa.binary()) if anchors is None else take(as_, a)})
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Indexes the anchors of a part, probes them with all keys, and answers which occur at two places or more."""
-    u32 = lambda c: [np.frombuffer(x, np.uint32) for x in table[c].to_pylist()]
-    anchors = u32("anchors")
+    u32 = lambda c: [None if x is None else np.frombuffer(x, np.uint32) for x in table[c].to_pylist()]
+    sent = u32("probes")
+    anchors = [p if a is None else a for a, p in zip(u32("anchors"), sent, strict=True)]
     index = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, np.uint32)
     seen = np.zeros(len(index) + 1, np.int32)
     if len(index):
-        for probes in (*u32("probes"), *u32("twice")):
+        for probes in (*sent, *u32("twice")):
             at = np.searchsorted(index, probes)
             at[at == len(index)] = 0
             np.add.at(seen, at[index[at] == probes], 1) if len(probes) < 64 else seen.__iadd__(np.bincount(at[index[at] == probes], minlength=len(seen)).astype(np.int32))
     often = seen[: len(index)] > 1
     bits = [often[np.searchsorted(index, a)] for a in anchors]
     keep = pa.array([k for k, b in enumerate(bits) if b.any()], pa.int64())
-    del anchors, index, seen
+    del sent, anchors, index, seen
     trim()
     return pa.table({"unit": table["unit"].take(keep), "part": table["part"].take(keep), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in keep.to_pylist()], pa.binary())})
 

@@ -303,7 +303,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
             token = _Sets(u, words, np.sort(r["reps"])).token
-            if (out := C.key_rows(u.id, token, np.unique(token), lg)) is not None:
+            if (out := C.key_rows(u.id, token, None, lg)) is not None:
                 yield out
 
     often = C.per_unit(C.repeated_keys(C.mapped(units.join(reps, "unit"), send, C.KEYS_SCHEMA)), "often")
