@@ -258,6 +258,38 @@ def test_op8_blocks(spark):
     assert [x.tolist() for x in tokens] == [x.tolist() for x in sets] and [x.tolist() for x in prefix] == [x.tolist() for x in heads]
 
 
+def test_op8_groups(spark):
+    """A block is sent once for each group that it meets, and blocks that meet do so in the task of their groups."""
+    meet = {(7, b): list(range(8)) for b in range(8)} | {(8, b): [b] for b in (3, 4)}
+    packed = spark.createDataFrame([(*k, w) for k, w in meet.items()], "label long, block long, with array<long>")
+    sent = ngram_join._dealt(packed, spark.createDataFrame([(7, 8, 3), (8, 2, 2)], "label long, blocks int, groups int")).collect()
+    group = {(r.label, r.block): r.group for r in sent}
+    assert group == {(7, b): b * 3 // 8 for b in range(8)} | {(8, 3): 0, (8, 4): 1}
+    tasks = {k: {(r.x, r.y) for r in sent if (r.label, r.block) == k} for k in meet}
+    assert len(sent) == sum(len(x) for x in tasks.values()) == 8 * 3 + 2
+    assert all(tuple(sorted((group[k], group[k[0], w]))) in tasks[k] & tasks[k[0], w] for k, ws in meet.items() for w in ws)
+
+
+def test_op8_traffic(spark, monkeypatch):
+    """Units of text aren't shuffled, whatever is joined to them, and leave no table in the catalog."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(96):024x}" for _ in range(300))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    size = common.text_bytes(docs)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    last = max(stages().apply(k).stageId() for k in range(stages().size()))
+    monkeypatch.setattr(common, "BUCKET_BYTES", 1 << 20, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ngram_join.join(docs, unit_bytes=1 << 17).where("component_id <> doc_id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        docs.unpersist()
+    after = stages()
+    assert sum(s.shuffleWriteBytes() for s in (after.apply(k) for k in range(after.size())) if s.stageId() > last) < size / 2
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("tidelog_")]
+
+
 def test_op8_tables(spark, docs, empty, sf, sample):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in queries.QUERIES["op8_ngram_join"](spark, sf).collect()}
     assert got == brute.linked(sample, 3, 90, 100)

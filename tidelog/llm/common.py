@@ -8,6 +8,7 @@ A key that stands in a third of all documents then costs one entry a unit, not o
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ from pyspark.sql.types import StructType
 UNIT_BYTES, UNIT_DOCS = 4 << 20, 1 << 15
 #: Bytes of one Arrow batch between Spark and a worker.
 BATCH_BYTES = 2 << 20
+#: Bytes of text that a bucket of units holds on average, and the most buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, 1 << 15
 #: Keys that one part of a key exchange holds in memory.
 PART_KEYS = 1 << 21
 #: Stands for a null id inside units; sorts first, is returned as null.
@@ -50,6 +53,22 @@ def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not by else df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, by: str, buckets: int) -> DataFrame:
+    """As written, in buckets of a column: a join on it shuffles the other side only. The table stands in the session's catalog until unlisted() is called with its path."""
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(_listed(path))
+    return df.sparkSession.table(_listed(path))
+
+
+def _listed(path: str) -> str:
+    return re.sub(r"\W", "_", "_".join(path.rsplit("/", 2)[1:]))
+
+
+def unlisted(spark: SparkSession, path: str) -> None:
+    """Takes a table that bucketed() wrote out of the catalog and deletes it."""
+    spark.sql(f"DROP TABLE IF EXISTS {_listed(path)}")
+    dropped(spark, path)
+
+
 #: Column of row keys.
 ROW = "_tidelog_row"
 

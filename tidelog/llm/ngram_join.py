@@ -10,9 +10,9 @@ shingles, hashed into a table of SKETCH counters; any counts make a valid order)
 3. Representatives that share prefix tokens, directly or through others, form a family (connected components, by SQL).
 4. In each family, candidates share prefix tokens under A and B and C and fit in length; what remains is verified exactly on 64-bit
    shingles, one representative against all its candidates at a time. A family over SPLIT_TOKENS tokens is cut into blocks of
-   representatives that look alike, each one compressed row, and each pair of blocks is a task, so no task holds more than two
-   blocks. Two blocks without a common prefix token of representatives that fit in length are no pair, so sets that hang together
-   by chains only don't meet.
+   representatives that look alike, each one compressed row, and blocks into groups; each pair of groups is a task, so no task
+   holds more than two groups, and a block is sent once for each group that it meets. Two blocks without a common prefix token of
+   representatives that fit in length don't meet, so sets that hang together by chains only stay apart.
 5. Links give each document its component and its number of linked documents; copies count through their class.
 
 No pair of documents ever is a row. Defined cases: null and empty texts have no shingles and link with nothing; texts with fewer
@@ -26,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import common as C
 
 WORDS, SHARE = 3, (90, 100)
 SKETCH, CHUNK = 1 << 20, 1 << 16
-#: Shingles that one block of a family holds at most, on average.
+#: Shingles that one group of a family's blocks holds at most, on average.
 FAMILY_TOKENS = 1 << 21
-#: Families with more shingles are cut into blocks whose number grows with the square root of the shingles over SPREAD, so tasks
-#: grow with the family and what is sent, compressed, with its power of 1.5 (with its square beyond blocks of FAMILY_TOKENS).
+#: Families with more shingles are cut into blocks whose number grows with the square root of the shingles over SPREAD, in groups
+#: whose number grows with the cube root of it, so what is sent, compressed, grows with the family's power of 4/3 (with its square
+#: beyond groups of FAMILY_TOKENS).
 SPLIT_TOKENS, SPREAD = 1 << 17, 1 << 12
 _B, _C, _SHORT = C.U64(0xB5297A4D3F84D5B5), C.U64(0xC2B2AE3D27D4EB4F), 0x5851F42D
 
@@ -114,6 +115,18 @@ def _meetings(family: DataFrame, share: tuple[int, int]) -> DataFrame:
     return meet.groupBy("label", "block").agg(F.collect_set("with").alias("with"))
 
 
+def _dealt(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A family's blocks, in turn, form groups. Each block once for every two groups, x and y, of which one holds it and the other, or the same, a block that it meets."""
+    turn = Window.partitionBy("label")
+    place = F.floor((F.row_number().over(turn.orderBy("block")) - 1) * F.col("groups") / F.count("*").over(turn))
+    at = packed.select("label", "block").join(sizes, "label").select("label", "block", place.alias("group"))
+    met = packed.select("label", "block", F.explode("with").alias("with")).join(at, ["label", "block"])
+    met = met.join(at.select("label", F.col("block").alias("with"), F.col("group").alias("_other")), ["label", "with"])
+    met = met.groupBy("label", "block", "group").agg(F.collect_set("_other").alias("_others"))
+    out = packed.join(met, ["label", "block"]).withColumn("_other", F.explode("_others"))
+    return out.withColumns({"x": F.least("group", "_other"), "y": F.greatest("group", "_other")}).drop("_other", "_others")
+
+
 DESCRIBED = "doc_id long, rid long, a long, b long, n long, chunk int, body binary"
 
 
@@ -289,8 +302,9 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     """(doc_id, n_shingles, component_id, n_links, class_id): per document its set size, the smallest doc_id that links reach, the number of documents linked with it, and the smallest doc_id with an equal set. docs: doc_id, text."""
     spark = docs.sparkSession
     home = C.shared_dir(spark)
-    lg = C.parts_for(C.text_bytes(docs) / 6)
-    units = C.written(C.pack(docs, unit_bytes), f"{home}/units")
+    size = C.text_bytes(docs)
+    lg = C.parts_for(size / 6)
+    units = C.bucketed(C.pack(docs, unit_bytes), f"{home}/units", "unit", min(C.BUCKETS, size // C.BUCKET_BYTES + 1))
     described = C.written(_described(units, words), f"{home}/described")
     shared = spark.sparkContext.broadcast(_sketch(described.where("chunk IS NOT NULL").select("chunk", "body")))  # SKETCH counters of 4 bytes
     rows = described.where("chunk IS NULL").select("doc_id", "rid", "a", "b", "n")
@@ -331,9 +345,10 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
     sizes = found.join(labels, "rid").groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     pieces = F.greatest(F.ceil(F.col("total") / family_tokens), F.ceil(F.sqrt(F.col("total") / SPREAD)))
     pieces = F.when(F.col("total") > min(family_tokens, SPLIT_TOKENS), pieces).otherwise(1).cast("int")
-    sizes = C.written(sizes.where("members > 1").select("label", pieces.alias("blocks")), f"{home}/sizes")
+    groups = F.greatest(F.ceil(F.col("total") / family_tokens), F.ceil(F.pow(pieces, F.lit(2 / 3)))).cast("int")
+    sizes = C.written(sizes.where("members > 1").select("label", pieces.alias("blocks"), groups.alias("groups")), f"{home}/sizes")
     split = sizes.where("blocks > 1").limit(1).count() > 0
-    family = found.join(labels.join(sizes, "label"), "rid")
+    family = found.join(labels.join(sizes.drop("groups"), "label"), "rid")
     if split:
         family = C.written(_blocks(family), f"{home}/blocks")
         family = family.join(_meetings(family, share), ["label", "block"], "left")
@@ -341,7 +356,7 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         family = family.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("array<long>").alias("with"))
     family = family.select("rid", "label", "block", "with", "prefix").join(classes.select(F.col("rep").alias("rid"), "copies"), "rid")
     family = family.select(F.shiftright("rid", 16).alias("unit"), F.struct(F.col("rid").bitwiseAND(65535).alias("at"), "label", "block", "with", "copies", "prefix").alias("m"))
-    family = family.groupBy("unit").agg(F.collect_list("m").alias("members"))
+    family = C.written(family.groupBy("unit").agg(F.collect_list("m").alias("members")), f"{home}/family")  # else units might be dealt anew, as the sum was
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, r in C.units_in(batches):
@@ -366,19 +381,20 @@ def join(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, un
         return _linked(table["rid"].to_numpy(), table["copies"].to_numpy(), sets, prefix, share, None)
 
     def second(table: pa.Table) -> pa.Table:
-        parts = [_opened_block(r) for r in table.sort_by("block").to_pylist()]
+        rows = table.sort_by("block")
+        parts = [_opened_block(r) for r in rows.to_pylist()]
         rid, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         sets, prefix = ([x for p in parts for x in p[k]] for k in (2, 3))
-        return _linked(rid, copies, sets, prefix, share, np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+        return _linked(rid, copies, sets, prefix, share, np.repeat(rows["group"].to_numpy(), [len(p[0]) for p in parts]))
 
     done = member.groupBy("label", "block").applyInArrow(first, f"{LINKED}, {PACKED}")
-    if split:  # a block meets itself and others
+    if split:
         packed = C.written(done, f"{home}/packed")
-        pairs = packed.where("block IS NOT NULL").withColumn("with", F.explode("with")).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
-        met = pairs.groupBy("label", "x", "y").applyInArrow(second, f"{LINKED}, {PACKED}")
+        met = _dealt(packed.where("block IS NOT NULL"), sizes).groupBy("label", "x", "y").applyInArrow(second, f"{LINKED}, {PACKED}")
         done = packed.where("block IS NULL").unionByName(met)
     done = C.written(done.select("rid", "linked", "root"), f"{home}/links")
-    for name in ("units", "found", "edges", *(("blocks", "packed") if split else ())):
+    C.unlisted(spark, f"{home}/units")
+    for name in ("found", "edges", "family", *(("blocks", "packed") if split else ())):
         C.dropped(spark, f"{home}/{name}")
     linked = done.groupBy("rid").agg(F.sum("linked").alias("linked"), F.min("root").alias("root"))
     if split:
