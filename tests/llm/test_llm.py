@@ -258,6 +258,15 @@ def test_op8_blocks(spark):
     assert [x.tolist() for x in tokens] == [x.tolist() for x in sets] and [x.tolist() for x in prefix] == [x.tolist() for x in heads]
 
 
+def test_room_for_units():
+    """A worker process that goes from packing to units lets go of what packing has kept, and packing begins anew."""
+    first = packing.Encoder.of(queries.tokenizer_path())
+    ids = first(["the wind was on the water"])
+    assert packing.Encoder.of(queries.tokenizer_path()) is first
+    assert list(common.units_in(iter(()))) == [] and not packing.Encoder.kept
+    assert packing.Encoder.of(queries.tokenizer_path())(["the wind was on the water"]) == ids
+
+
 def test_op8_groups(spark):
     """A block is sent once for each group that it meets, and blocks that meet do so in the task of their groups."""
     meet = {(7, b): list(range(8)) for b in range(8)} | {(8, b): [b] for b in (3, 4)}

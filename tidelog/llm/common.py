@@ -30,6 +30,8 @@ BUCKET_BYTES, BUCKETS = 16 << 20, 1 << 15
 PART_KEYS = 1 << 21
 #: Stands for a null id inside units; sorts first, is returned as null.
 NULL_ID = -(1 << 63)
+#: Large objects that a worker process keeps for later tasks of one operator. Tasks that read units need the room and empty it.
+KEPT: dict[str, object] = {}
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -296,6 +298,9 @@ def pack(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
 
 def units_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, dict]]:
     """Units one at a time, each with the other columns of its row."""
+    if KEPT:
+        KEPT.clear()
+        trim()
     open_ = zstandard.ZstdDecompressor()
     for b in batches:
         rest = [c for c in b.schema.names if c not in ("unit", "ids", "lens", "text")]

@@ -90,7 +90,7 @@ class _Memo(dict):
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers. Words of plain letters and signs that no memo has are cut as the tokenizer cuts them, and all their parts go to its merges in one string; other words go to the tokenizer whole."""
 
-    kept: ClassVar[dict[str, Encoder]] = {}
+    kept: ClassVar[dict[str, Encoder]] = C.KEPT
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -109,7 +109,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """The encoder of this worker process, which keeps its memo from task to task."""
+        """The encoder of this worker process, which keeps its memo from task to task until one reads units."""
         if path not in cls.kept:
             cls.kept[path] = cls(path)
         return cls.kept[path]
