@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,24 @@ def test_long_segment_and_odd_rows(spark):
     assert len(got) == 300 and got["https://example.org/00100"] == ("https://example.org/00099", "https://example.org/00101")
     keys = spark.createDataFrame([("x" * 100 + "a", "x" * 100 + "b"), ("", "a"), ("ab", "ab")], "a string, b string")
     assert [r.n for r in keys.select(expr.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [100, 0, 2]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_unmet_equals_pairs(spark, kind):
+    """Many tables against many ranges, open and inverted ones too, without a join of all pairs."""
+    rng = random.Random(5)
+    key = lambda: None if rng.random() < 0.05 else (k := f"k{rng.choice(['', 'a', 'é', 'zz'])}{rng.randrange(400):03}") and (k if kind == "string" else bytearray(k.encode()))
+    raw = lambda k: k if k is None or kind == "binary" else k.encode()
+    some = lambda: sorted((key(), key()), key=lambda k: (raw(k) or b"", rng.random())) if rng.random() < 0.9 else [key(), key()]
+    near = lambda: (p := some(), p if rng.random() < 0.2 or None in p else [p[0], p[0]])[1]
+    for n in (0, 40):
+        tables = [(i, 1 + (i >= 120), *near(), 1) for i in range(120 + n)] + [(998, 1, None, None, 1)]
+        df = spark.createDataFrame(tables, f"id long, level int, smallest {kind}, biggest {kind}, size long")
+        below = [(raw(a), raw(b)) for _, level, a, b, _ in tables if level == 2]
+        meets = lambda lo, hi: any((lo is None and hi is None) or (None not in (lo, hi, a, b) and a <= hi and lo <= b) for a, b in below)  # noqa: E731, B023
+        want = {i for i, level, lo, hi, _ in tables if level == 1 and not meets(raw(lo), raw(hi))}
+        moved = compact.trivial_moves(df, 1)
+        assert sorted((r.id, r.op, r.level) for r in moved.collect()) == sorted((i, op, level) for i in want for op, level in (("DELETE", 1), ("CREATE", 2)))
+        assert (n == 0) == (len(want) == 121) and want
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin \w+, Inner", plan)

@@ -11,6 +11,7 @@ from tidelog import schema as S
 from tidelog.functions import expr
 from tidelog.operators.merge import latest_wins
 from tidelog.operators.prefix import running_sum
+from tidelog.operators.scan import bucket_of
 
 
 def level_stats(tables: DataFrame) -> DataFrame:
@@ -69,11 +70,30 @@ def choose_inputs(tables: DataFrame, level: int, busy: DataFrame | None = None)
     return top.select("id", F.lit("top").alias("side")).unionByName(below.select("id", F.lit("bottom").alias("side")))
 
 
+def unmet(ranges: DataFrame, tables: DataFrame) -> DataFrame:
+    """The (range_id, left, right) ranges that meet none of the tables, many of both; a range without ends meets any table.
+
+    A range meets a table if the furthest end of those that start up to its right end reaches its left end. So it takes a running maximum in key order instead of pairs, inside buckets of one key prefix; what earlier buckets hold comes from their maxima.
+    """
+    t = tables.select(F.col("smallest").alias("_k"), F.lit(0).alias("_o"), F.col("biggest").alias("_far"), F.lit(False).alias("_is"))
+    r = ranges.where("left IS NOT NULL AND right IS NOT NULL").select(F.col("right").alias("_k"), F.lit(1).alias("_o"), F.lit(True).alias("_is"), "range_id", "left", "right")
+    both = r.unionByName(t.where("_k IS NOT NULL AND _far IS NOT NULL"), allowMissingColumns=True)
+    head, width = bucket_of(both, "_k")
+    both = both.withColumn("_b", F.substring("_k", 1, head + width))
+    upto = Window.partitionBy("_b").orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_reach", F.max("_far").over(upto)).where("_is")
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("_b").agg(F.max("_far").alias("_e")).select("_b", F.max("_e").over(earlier).alias("_before"))
+    clear = inside.join(ends, "_b").where(~F.coalesce(F.greatest("_reach", "_before") >= F.col("left"), F.lit(False)))
+    endless = F.col("left").isNull() & F.col("right").isNull()
+    open_ended = ranges.where("left IS NULL OR right IS NULL").join(F.broadcast(tables.select(F.lit(True).alias("_any")).limit(1)), endless, "left_anti")
+    return clear.select("range_id", "left", "right").unionByName(open_ended.select("range_id", "left", "right"))
+
+
 def trivial_moves(tables: DataFrame, level: int) -> DataFrame:
     """Changes (id, op, level) that move the tables of a level which meet nothing in the next one, without touching their rows."""
     ranges = tables.where(F.col("level") == level).select(F.col("id").alias("range_id"), F.col("smallest").alias("left"), F.col("biggest").alias("right"))
-    met = overlapping(tables.where(F.col("level") == level + 1), ranges).select(F.col("range_id").alias("id")).distinct()
-    free = tables.where(F.col("level") == level).join(met, "id", "left_anti").select("id")
+    free = unmet(ranges, tables.where(F.col("level") == level + 1)).select(F.col("range_id").alias("id"))
     return free.select("id", F.lit("DELETE").alias("op"), F.lit(level).alias("level")).unionByName(free.select("id", F.lit("CREATE").alias("op"), F.lit(level + 1).alias("level")))
 
 
