@@ -240,3 +240,25 @@ def test_unmet_equals_pairs(spark, kind):
         assert (n == 0) == (len(want) == 121) and want
     plan = moved._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin \w+, Inner", plan)
+
+
+def test_wide_rows_are_dealt_over_tasks(spark):
+    """Neither the log's running sum nor rows with inline values gather in one task."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    most = lambda df: max(r["count"] for r in df.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect())
+    value = F.concat(F.lit("v"), F.col("id").cast("string"))
+    log = spark.range(50000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") + 1).alias("cas"), F.lit(0).alias("meta"), F.lit(0).alias("user_meta"), value.alias("value"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert most(valuelog.offsets(log)) < 30000
+        rows, blobs = valuelog.separate(log, threshold=6)
+        back = valuelog.dereference(rows, blobs)
+        assert most(back) < 30000
+        inline, _ = valuelog.separate(log, threshold=100)
+        assert most(valuelog.dereference(inline, blobs)) < 30000
+        assert back.exceptAll(log).count() == 0 and back.count() == 50000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -26,9 +26,11 @@ def separate(rows: DataFrame, threshold: int = S.VALUE_THRESHOLD, file_size: int
 
 
 def dereference(rows: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Fills in the values that stand in the log; AQE broadcasts blobs only when they turn out small."""
-    b = blobs.select("fid", "offset", F.col("value").alias("_v"))
-    out = rows.join(b, ["fid", "offset"], "left").withColumn("value", F.coalesce("value", "_v"))
+    """Fills in the values that stand in the log; AQE broadcasts blobs only when they turn out small. Rows with an inline value have no place: they are dealt by numbers below those of all files, not to one task."""
+    b = blobs.select(F.col("fid").alias("_f"), F.col("offset").alias("_o"), F.col("value").alias("_v"))
+    file = F.coalesce("fid", -1 - F.pmod(F.xxhash64("key", "cas"), F.lit(1 << 20)))
+    out = rows.withColumn("_file", file).join(b, (F.col("_file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left")
+    out = out.withColumn("value", F.coalesce("value", "_v"))
     return out.withColumn("meta", F.col("meta").bitwiseAND(~S.POINTER)).select("key", "cas", "meta", "user_meta", "value")
 
 
