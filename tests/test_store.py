@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,21 @@ def test_wide_rows_are_dealt_over_tasks(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_checksums_of_large_sets(spark):
+    """The sums are those of the whole texts, and no list holds a whole set."""
+    rng = random.Random(3)
+    small = [(rng.randrange(4), rng.choice([0, 0, 5, 4095, 4096, 90000, None]), rng.choice([rng.randrange(60), rng.randrange(1 << 30), -7, None]), rng.choice(["CREATE", "DELETE"]), rng.choice([0, 3, None])) for _ in range(300)]
+    large = [(9, 0, i, "CREATE", i % 7) for i in range(20000)]
+    changes = spark.createDataFrame(small + large + [(8, i, i * 97, "DELETE", 1) for i in range(9000)] + [(7, 0, None, None, None)], "change_set long, seq int, id long, op string, level int").repartition(3)
+    texts = {}
+    first = lambda c: [(v is not None, v or 0) for v in c[1:3]]
+    spell = lambda c: " ".join(str(v) for v in (c[3], c[2], c[4]) if v is not None)
+    for c in sorted([tuple(r) for r in changes.collect()], key=lambda c: (first(c), spell(c))):
+        texts.setdefault(c[0], []).append(spell(c))
+    sums = manifest.checksums(changes)
+    assert {r.change_set: r.crc for r in sums.collect()} == {k: zlib.crc32("\n".join(v).encode()) for k, v in texts.items()}
+    # The lists of lines that the plan collects first are not those of whole sets.
+    lines = sums._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[-1].split("]")[0]
+    assert "change_set#" in lines and lines.count("#") == 3

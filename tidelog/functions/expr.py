@@ -79,6 +79,38 @@ def overlaps(left_a: Column, right_a: Column, left_b: Column, right_b: Column, i
     return both if inf is None else inf | both
 
 
+def _zeros_after() -> list[int]:
+    """What a CRC-32 is multiplied by, modulo its polynomial (bits reversed), when 1, 2, 4 ... 2**39 zero bytes follow."""
+    out = [1 << 23]
+    for _ in range(39):
+        a, square = out[-1], 0
+        for i in range(32):
+            square, a = square ^ (a if out[-1] >> (31 - i) & 1 else 0), a >> 1 ^ (CRC_POLY if a & 1 else 0)
+        out.append(square)
+    return out
+
+
+CRC_POLY = 0xEDB88320
+ZEROS_AFTER = _zeros_after()
+
+
+def crc32_join(a: Column, b: Column, b_bytes: Column) -> Column:
+    """CRC-32 of two byte strings in a row, from that of each and the length of the second."""
+
+    def times(crc: Column, factor: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            taken = F.when(F.getbit(factor, 31 - i) == 1, s["a"].bitwiseXOR(s["p"])).otherwise(s["p"])
+            half = F.shiftright(s["a"], 1)
+            return F.struct(taken.alias("p"), F.when(s["a"].bitwiseAND(1) == 1, half.bitwiseXOR(F.lit(CRC_POLY))).otherwise(half).alias("a"))
+
+        start = F.struct(F.lit(0).cast("long").alias("p"), crc.alias("a"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), start, step, lambda s: s["p"])
+
+    powers = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bytes"), F.lit(m).cast("long").alias("m")) for k, m in enumerate(ZEROS_AFTER)))
+    needed = F.filter(powers, lambda x: x["bytes"].bitwiseAND(b_bytes) != 0)
+    return F.aggregate(needed, a.cast("long"), lambda crc, x: times(crc, x["m"])).bitwiseXOR(b)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two strings or byte strings, by bisection: keys have at most 2**20 bytes."""
     low, high = F.lit(0), F.least(F.length(a), F.length(b))

@@ -1,9 +1,12 @@
 """Replaying, checking and reconciling the list of tables."""
 
+import zlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
+from tidelog.functions import expr
 
 
 def replay(changes: DataFrame) -> DataFrame:
@@ -30,16 +33,36 @@ def as_changes(state: DataFrame) -> DataFrame:
     return state.select(F.lit(0).cast("long").alias("change_set"), F.row_number().over(Window.orderBy("level", "id")).alias("seq"), "id", F.lit("CREATE").alias("op"), "level")
 
 
+#: Bits of seq and id that one step of checksums() puts together: a task holds 4,096 lines or parts at once where seqs and ids are dense.
+PART = 12
+
+
+def _in_a_row(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Parts of a text (crc, n bytes) joined by line breaks, in order, to one of each group of keys."""
+
+    def after(s, x):
+        line = expr.crc32_join(s["crc"], F.lit(zlib.crc32(b"\n")), F.lit(1))
+        return F.struct(F.when(s["n"] < 0, x["crc"]).otherwise(expr.crc32_join(line, x["crc"], x["n"])).alias("crc"), (s["n"] + 1 + x["n"]).alias("n"))
+
+    none = F.struct(F.lit(0).cast("long").alias("crc"), F.lit(-1).cast("long").alias("n"))
+    all_of = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "crc", "n"))).alias("_p"))
+    return all_of.select(*keys, F.aggregate("_p", none, after).alias("_c")).select(*keys, "_c.crc", "_c.n")
+
+
 def checksums(changes: DataFrame) -> DataFrame:
-    """(change_set, crc): CRC-32 over a set's changes, spelled 'op id level' in order of seq and id, a line each."""
+    """(change_set, crc): CRC-32 over a set's changes, spelled 'op id level' in order of seq and id, a line each. A set may be large: parts of it are summed alone, and their sums are put together."""
+    part = lambda c, bits: F.shiftright(F.col(c).cast("long"), bits)
     line = F.struct("seq", "id", F.concat_ws(" ", "op", "id", "level").alias("l"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"])
-    return changes.groupBy("change_set").agg(F.crc32(F.array_join(lines, "\n").cast("binary")).alias("crc"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").cast("binary")
+    ids = changes.groupBy("change_set", "seq", part("id", PART).alias("_i")).agg(text.alias("_t")).select("change_set", "seq", "_i", F.crc32("_t").alias("crc"), F.length("_t").cast("long").alias("n"))
+    wider = _in_a_row(ids.withColumn("_w", part("_i", PART)), ["change_set", "seq", "_w"], ["_i"])
+    seqs = _in_a_row(wider.withColumn("_s", part("seq", PART)), ["change_set", "_s"], ["seq", "_w"])
+    return _in_a_row(seqs, ["change_set"], ["_s"]).select("change_set", "crc")
 
 
-def valid_prefix(changes: DataFrame, ok: str = "crc_ok") -> DataFrame:
-    """Change sets before the first whose checksum is wrong."""
-    bad = changes.where(~F.col(ok)).agg(F.min("change_set").alias("_bad"))
+def valid_prefix(changes: DataFrame, ok: str = "crc_ok", sets: DataFrame | None = None) -> DataFrame:
+    """Change sets before the first whose checksum is wrong. sets: (change_set, ok), a row a set, if the changes don't carry ok themselves."""
+    bad = (changes if sets is None else sets).where(~F.col(ok)).agg(F.min("change_set").alias("_bad"))
     return changes.join(F.broadcast(bad), F.col("_bad").isNull() | (F.col("change_set") < F.col("_bad"))).drop("_bad")
 
 

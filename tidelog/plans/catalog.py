@@ -448,9 +448,10 @@ def kv_manifest_snapshot(spark, sf_dir):
 def kv_manifest_valid_prefix(spark, sf_dir):
     """The second change set's stored checksum is wrong."""
     log = T.manifest_log(spark, sf_dir)
-    stored = manifest.checksums(log).select("change_set", (F.col("crc") + F.when(F.col("change_set") == 1, 1).otherwise(0)).alias("stored"))
-    checked = log.join(manifest.checksums(log).join(stored, "change_set"), "change_set").withColumn("crc_ok", F.col("crc") == F.col("stored"))
-    return manifest.valid_prefix(checked).select("id", "change_set", "op")
+    made = manifest.checksums(log)
+    stored = made.select("change_set", (F.col("crc") + F.when(F.col("change_set") == 1, 1).otherwise(0)).alias("stored"))
+    checked = made.join(stored, "change_set").withColumn("crc_ok", F.col("crc") == F.col("stored"))
+    return manifest.valid_prefix(log, sets=checked).select("id", "change_set", "op")
 
 
 @query("SELECT split_part(path, '.', 2) AS suffix, sum(length)::BIGINT AS bytes FROM (SELECT printf('%06d', o_orderkey) || CASE WHEN o_orderkey % 3 = 0 THEN '.run' ELSE '.vlog' END AS path, o_orderkey % 1000 AS length FROM orders) GROUP BY 1")
